@@ -33,11 +33,21 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a path of any file system that Spark knows."""
+def _at(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is such a path, on any file system that Spark knows."""
+    fs, p = _at(spark, path)
+    return fs.exists(p)
+
+
+def is_file(spark: SparkSession, path: str) -> bool:
+    fs, p = _at(spark, path)
+    return fs.getFileStatus(p).isFile()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

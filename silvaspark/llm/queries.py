@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from silvaspark.llm.common import table
+from silvaspark.llm.common import fresh_path, table
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,9 +17,52 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from silvaspark.llm.quality import classify
+
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from silvaspark.llm.exact_dedup import exact_dedup
+
+    return exact_dedup(spark, f"{sf_dir}/documents.parquet")
+
+
+OP6_SQL = """
+select doc_id, max(doc_id) over g as keep_id, count(*) over g as group_size, doc_id = max(doc_id) over g as kept,
+    sha256(coalesce(text, '')) as text_sha256
+from documents window g as (partition by coalesce(text, ''))
+"""
+
+
+def op7_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from silvaspark.llm.parity_join import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), k=3, num=90, den=100).select("doc_id", "n_shingles", "component_id")
+
+
+def op9_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from silvaspark.llm.token_records import read_token_records, write_token_records
+
+    manifest = write_token_records(table(spark, sf_dir, "documents"), fresh_path(spark, "token-records"), public_tokenizers.path("byte_bpe_50k.json"), 2)
+    return read_token_records(spark, manifest)
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from silvaspark.llm.mixing import mix
+
+    _, per_doc = mix(table(spark, sf_dir, "documents"))
+    return per_doc.select("doc_id", "size", "source_size", "target", "taken")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_token_counts,)}
+    return {f.__name__: f for f in (op3_token_counts, op5_quality, op6_exact_dedup, op7_parity_join, op9_token_records, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from silvaspark.llm.mixing import MIX_SQL
+
+    return {"op6_exact_dedup": OP6_SQL, "op10_mixing": MIX_SQL}
