@@ -1,6 +1,6 @@
 """Text quality by support vectors on naive-Bayes features.
 
-Indicators of byte n-grams (hashed) are scaled by the log ratio of their counts in the two classes; a linear model of
+Indicators of byte n-grams (hashed), and of n-grams over the marks "this word repeats the one before", are scaled by the log ratio of their counts in the two classes; a linear model of
 hinge loss is fitted to these by dual coordinate descent. The model is small and fixed in size; scoring is one pass
 over the texts without a shuffle.
 
@@ -18,14 +18,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from silvaspark.llm.parity_join import word_hashes
+
 BITS = 18
+REPEATS = 4  # longest n-gram of repeat marks
 SAMPLE = 6000
 COST = 1.0
 ROUNDS = 20
 
 
 def grams(text: bytes, flags: np.ndarray) -> np.ndarray:
-    """Indices of the 2-, 3- and 4-grams of a text, each once; ``flags`` is a zeroed scratch array, left zeroed."""
+    """Indices of the 2-, 3- and 4-grams of a text and of its runs of repeats, each once; ``flags`` is a zeroed scratch array, left zeroed."""
     b = np.frombuffer(text, np.uint8).astype(np.uint32)
     if len(b) < 2:
         return np.zeros(0, np.int64)
@@ -36,6 +39,13 @@ def grams(text: bytes, flags: np.ndarray) -> np.ndarray:
         if not len(code):
             break
         flags[(code + np.uint32(n)) * np.uint32(2654435761) >> np.uint32(32 - BITS)] = True
+    words = word_hashes(text)
+    again = words[1:] == words[:-1]
+    for n in range(REPEATS):
+        if not again.any():
+            break
+        flags[n] = True
+        again = again[1:] & again[:-1]
     found = np.flatnonzero(flags)
     flags[found] = False
     return found
@@ -70,13 +80,12 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, cost: float = COST, rounds:
     ratio = np.log(counts[1] / counts[1].sum()) - np.log(counts[0] / counts[0].sum())
     values = [ratio[f] / np.sqrt((ratio[f] ** 2).sum() + 1e-12) for f in rows]
     sign = np.where(labels > 0, 1.0, -1.0)
-    upper = np.where(labels > 0, cost * n / (2 * ones), cost * n / (2 * (n - ones)))  # both classes weigh the same
     w, bias, alpha, rng = np.zeros(size), 0.0, np.zeros(n), np.random.default_rng(seed)
     for _ in range(rounds):
         for i in rng.permutation(n):
             f, x = rows[i], values[i]
             gradient = sign[i] * (w[f] @ x + bias) - 1
-            new = min(max(alpha[i] - gradient / (x @ x + 1), 0.0), upper[i])
+            new = min(max(alpha[i] - gradient / (x @ x + 1), 0.0), cost)
             if new != alpha[i]:
                 step = (new - alpha[i]) * sign[i]
                 w[f] += step * x

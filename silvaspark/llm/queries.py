@@ -17,6 +17,18 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from silvaspark.llm.decontaminate import contamination
+
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from silvaspark.llm.html_text import extract_text
+
+    return extract_text(table(spark, sf_dir, "pages"))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from silvaspark.llm.quality import classify
 
@@ -42,6 +54,12 @@ def op7_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), k=3, num=90, den=100).select("doc_id", "n_shingles", "component_id")
 
 
+def op8_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from silvaspark.llm.licences import scan_licences
+
+    return scan_licences(table(spark, sf_dir, "documents")).select("doc_id", "licence", "dice", "n_found")
+
+
 def op9_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -59,7 +77,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_token_counts, op5_quality, op6_exact_dedup, op7_parity_join, op9_token_records, op10_mixing)}
+    return {f.__name__: f for f in (op2_decontamination, op3_token_counts, op4_html_text, op5_quality, op6_exact_dedup, op7_parity_join, op8_licences, op9_token_records, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
