@@ -124,6 +124,25 @@ def mix(docs: DataFrame, ratio: float = 1.5, weights: tuple[int, ...] = (5, 2, 1
     return stream, per_doc.select("doc_id", "source", "size", "source_size", "target", F.col("taken").cast("long").alias("taken"))
 
 
+def mixed(docs: DataFrame, ratio: float = 1.5, weights: tuple[int, ...] = (5, 2, 1), most: float = 2.0, block: int = 1024) -> DataFrame:
+    """The rows of ``docs`` that the mix takes, all columns as they are, each as often as it is taken.
+
+    A document counts as taken once for each of its passes that is taken by half or more; texts without words are not.
+    A source's stream is cut in shuffled order, so what each document gets follows from how far each pass went: a row a
+    source, joined to the documents without moving these.
+    """
+    _, per_doc = mix(docs, ratio, weights, most, block)
+    order = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    times = F.floor(F.col("taken") / F.col("size") + 0.5)
+    got = per_doc.where("size > 0").select("source", order.alias("o"), times.alias("times"))
+    cuts = stored(got.groupBy("source").agg(*(F.max(F.when(F.col("times") >= k, F.col("o"))).alias(f"pass{k}") for k in range(1, int(most) + 1))).withColumnRenamed("source", "cut_source"), "mix-cuts")
+    names = docs.columns
+    row = docs.select(F.struct(*names).alias("row"), order.alias("o"), F.col("source").cast("string").alias("s"), (word_count(F.col("text")) > 0).alias("full"))
+    joined = row.join(cuts, F.col("s").eqNullSafe(F.col("cut_source"))).where("full")
+    passes = F.filter(F.array(*(F.when(F.col("o") <= F.col(f"pass{k}"), F.lit(k)) for k in range(1, int(most) + 1))), lambda x: x.isNotNull())
+    return joined.select("row", F.explode(passes).alias("pass")).select(*(F.col("row").getField(n).alias(n) for n in names))
+
+
 #: The same sums in closed form: a source's stream is its shuffled documents twice in a row, cut at its target.
 MIX_SQL = r"""
 with d as (select doc_id, source, cast(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as bigint) as size,

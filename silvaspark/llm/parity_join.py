@@ -336,3 +336,15 @@ class ParityJoin:
 def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """Components of documents whose sets of ``k``-word shingles have a Jaccard similarity of ``num / den`` or more."""
     return ParityJoin(docs, k, num, den).run()
+
+
+def one_of_each(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """The rows of ``docs`` without near-duplicates, all columns as they are: of each component the least doc_id stays.
+
+    Rows with a null doc_id, and those without words, stay. Only rows that may have to go are moved.
+    """
+    found = near_duplicates(docs, k, num, den)
+    gone = stored(found.where("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct(), "join-gone")
+    suspect = F.coalesce(maybe_in(F.col("doc_id"), bitmap_of(gone, "gone")), F.lit(False))
+    clean = docs.where(~suspect)
+    return clean.unionByName(docs.where(suspect).join(gone, F.col("doc_id") == F.col("gone"), "left_anti"))

@@ -1,7 +1,7 @@
 """Text quality by support vectors on naive-Bayes features.
 
-Indicators of byte n-grams (hashed), and of n-grams over the marks "this word repeats the one before", are scaled by the log ratio of their counts in the two classes; a linear model of
-hinge loss is fitted to these by dual coordinate descent. The model is small and fixed in size; scoring is one pass
+Indicators of byte n-grams (hashed), and of n-grams over the marks "this word repeats the one before", are scaled by the
+log ratio of their counts in the two classes; a linear model of hinge loss is fitted to these by dual coordinate descent. The model is small and fixed in size; scoring is one pass
 over the texts without a shuffle.
 
 Training reads at most ``SAMPLE`` labelled rows, those with the smallest hashes of their ids; all others and all of
@@ -159,6 +159,18 @@ def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataF
     return read.mapInArrow(run, ", ".join([*fields, "score double", "predicted int"]))
 
 
+def keep_good(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """The rows of ``docs`` that score 0.5 or more under a model trained on them, all columns as they are."""
+    shared, at = docs.sparkSession.sparkContext.broadcast(train(docs, labels, sample)), docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flags, model = np.zeros(1 << BITS, bool), shared.value
+        for batch in batches:
+            yield batch.filter(pa.array([model.score(grams((t.as_py() or "").encode(), flags)) >= 0.5 for t in batch.column(at)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """Per document ``doc_id, held_out, score, predicted``; scores depend on the text alone."""
     scored = score(docs, train(docs, labels, sample))

@@ -17,6 +17,12 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from silvaspark.llm.line_dedup import dedup_lines
+
+    return dedup_lines(table(spark, sf_dir, "documents"))
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from silvaspark.llm.decontaminate import contamination
 
@@ -77,7 +83,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_decontamination, op3_token_counts, op4_html_text, op5_quality, op6_exact_dedup, op7_parity_join, op8_licences, op9_token_records, op10_mixing)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_decontamination, op3_token_counts, op4_html_text, op5_quality, op6_exact_dedup, op7_parity_join, op8_licences, op9_token_records, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
