@@ -18,9 +18,15 @@ def query(sql: str | None = None):
     return add
 
 
+def _load() -> None:
+    from silvaspark.plans import point_queries, raster_queries, vector_queries  # noqa: F401  they register themselves
+
+
 def queries() -> dict:
+    _load()
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return dict(ORACLES)
