@@ -117,4 +117,4 @@ def dispatch(pixels: DataFrame, func: Callable[[np.ndarray], object], how: str =
 
 def strategy_report(df: DataFrame) -> dict:
     """What takes the place of a tiling strategy: the physical plan and the number of scan partitions."""
-    return {"plan": df._jdf.queryExecution().explainString(df.sparkSession._jvm.org.apache.spark.sql.execution.FormattedMode), "partitions": df.rdd.getNumPartitions()}
+    return {"plan": df._jdf.queryExecution().explainString(df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")), "partitions": df.rdd.getNumPartitions()}

@@ -13,7 +13,9 @@ def acquisitions(events: DataFrame) -> DataFrame:
 
 def counts(rows: DataFrame, window: str = "1 hour", late: str = "2 hours") -> DataFrame:
     """Acquisitions per window and sensor; on a stream, state older than the watermark is dropped."""
-    marked = rows.withWatermark("acquisition_datetime", late) if rows.isStreaming else rows
+    marked = rows
+    if rows.isStreaming:  # a watermark needs an instant, not a local time
+        marked = rows.withColumn("acquisition_datetime", F.col("acquisition_datetime").cast("timestamp")).withWatermark("acquisition_datetime", late)
     grouped = marked.groupBy(F.window("acquisition_datetime", window).alias("w"), "sensor_type").agg(F.count(F.lit(1)).alias("n"))
     return grouped.select(F.col("w.start").alias("window_start"), "sensor_type", "n")
 
