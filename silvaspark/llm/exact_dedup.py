@@ -14,8 +14,11 @@ from pyspark.sql import functions as F
 from silvaspark.llm.common import exists, fresh_path, is_file, stored
 from silvaspark.llm.native import bitmap_of, maybe_in
 
-PROVIDER = "spark.sql.streaming.stateStore.providerClass"
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: State on disk; without files set aside in advance, which cost megabytes in each of very many small stores.
+STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 
 
 def sha256(text: Column) -> Column:
@@ -31,9 +34,10 @@ def _rows(df: DataFrame, digest) -> DataFrame:
 def digest_state(spark: SparkSession, path: str, digest=sha256, files_per_batch: int = 10_000) -> DataFrame:
     """Run the stream over all files at ``path`` until none is left: ``digest, n, keep`` (identifier and locator)."""
     out, check = fresh_path(spark, "exact-groups"), fresh_path(spark, "exact-state")
-    before = spark.conf.get(PROVIDER, None)
-    spark.conf.set(PROVIDER, ROCKSDB)
+    before = {k: spark.conf.get(k, None) for k in STATE}
     try:
+        for k, v in STATE.items():
+            spark.conf.set(k, v)
         schema = spark.read.parquet(path).schema
         reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)
         folder, _, name = path.rstrip("/").rpartition("/")
@@ -47,7 +51,8 @@ def digest_state(spark: SparkSession, path: str, digest=sha256, files_per_batch:
         run = state.writeStream.outputMode("update").option("checkpointLocation", check).trigger(availableNow=True).foreachBatch(write).start()
         run.awaitTermination()
     finally:
-        spark.conf.set(PROVIDER, before) if before else spark.conf.unset(PROVIDER)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     place = "struct<doc_id: bigint, file: string, row: bigint>"
     empty = f"digest string, n bigint, keep {place}"
     if not exists(spark, out):
