@@ -21,12 +21,11 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from silvaspark.llm.common import stored
+from silvaspark.llm.common import release, stored
 from silvaspark.llm.components import components
 from silvaspark.llm.native import bitmap_of, maybe_in
 
@@ -220,9 +219,10 @@ class ParityJoin:
 
     def _links(self) -> DataFrame:
         """Verified links ``a, b`` between classes, enough of them for the components."""
-        keyed = stored(self._keyed(), "join-keys")
+        keyed = self._keyed()  # made twice: its rows would be most of what a run writes
         shared = keyed.groupBy("key").agg(F.min("g1").alias("lead"), F.max("g1").alias("last")).where("lead <> last").select("key", "lead")
         shared = stored(shared, "join-shared")
+        release(self.spark)
         members = keyed.where(maybe_in(F.col("key"), bitmap_of(shared, "key", 24), 24)).join(shared, "key").select("key", "lead", "g1")
         of = self.classes.select("g1", "c")
         members = stored(members.distinct().join(of, "g1").select("key", "lead", "c"), "join-members")
@@ -231,11 +231,14 @@ class ParityJoin:
         pairs = members.join(leads, "lead").where("a <> c").groupBy(F.col("a"), F.col("c").alias("b")).agg(F.count(F.lit(1)).alias("n"))
         pairs = stored(pairs, "join-pairs")
         best = pairs.groupBy("b").agg(F.max_by("a", F.struct("n", -F.col("a"))).alias("a"))
+        release(self.spark)
         done = stored(self._verify(best), "join-verified")
+        release(self.spark)
         roots = components(done.where("linked").select("a", "b"))
         rest = self._apart(pairs.select("a", "b").join(done.select("a", "b"), ["a", "b"], "left_anti"), roots)
         more = stored(self._verify(rest), "join-verified")
         done = stored(done.unionByName(more), "join-done")
+        release(self.spark)
         tries = 1
         while True:
             roots = components(done.where("linked").select("a", "b"))
@@ -289,50 +292,76 @@ class ParityJoin:
         """Pairs ``a < b`` of classes in one group but different components that their sketches do not rule out.
 
         Of each class and other component the ``tries`` pairs of least sketch distance; also whether any was left out.
+        Groups of two need no look, their one pair is that with the least member; of groups with the same members one
+        is compared. Large groups are cut into blocks: what is outside the largest component meets all, block by block.
         """
         m = members.select("key", "c").join(roots, F.col("c") == F.col("node"), "left").select("key", "c", F.coalesce("root", "c").alias("root"))
-        groups = m.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
-        per_key = groups.groupBy("key").agg(F.max(F.struct("n", "root")).alias("main"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
-        per_key = stored(per_key.select("key", F.col("main.root").alias("main"), "n", (F.col("n") - F.col("main.n")).alias("minor")), "join-open")
-        if per_key.isEmpty():
+        names = [F.bit_xor(F.xxhash64("c")).alias("x1"), F.bit_xor(F.xxhash64(F.lit(1), "c")).alias("x2")]
+        groups = m.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"), *names)
+        per_key = groups.groupBy("key").agg(F.max(F.struct("n", "root")).alias("main"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("roots"), F.bit_xor("x1").alias("x1"), F.bit_xor("x2").alias("x2"))
+        open_ = per_key.where("roots > 1 and n > 2").select("key", "x1", "x2", F.col("main.root").alias("main"), "n", (F.col("n") - F.col("main.n")).alias("minor"))
+        open_ = stored(open_.groupBy("n", "x1", "x2", "main", "minor").agg(F.min("key").alias("key")).drop("x1", "x2"), "join-open")
+        if open_.isEmpty():
             return self.spark.createDataFrame([], "a long, b long"), False
-        rows = m.join(per_key, "key").join(self.sets.select("c", F.col("n").alias("size"), "sketch"), "c")
-        chunk = lambda n: F.pmod(F.hash("c"), F.ceil(F.col(n) / BLOCK)).cast("int")
-        every = F.sequence(F.lit(0), F.ceil(F.col("minor") / BLOCK).cast("int") - 1)
-        alls = rows.select("key", "c", "root", "size", "sketch", chunk("n").alias("i"), F.explode(every).alias("j"), F.lit(False).alias("minor"))
-        every = F.sequence(F.lit(0), F.ceil(F.col("n") / BLOCK).cast("int") - 1)
-        minors = rows.where("root <> main").select("key", "c", "root", "size", "sketch", F.explode(every).alias("i"), chunk("minor").alias("j"), F.lit(True).alias("minor"))
-        bands = Bands(self.num, self.den)
-
-        def compare(group: pd.DataFrame) -> pd.DataFrame:
-            left, right = group[group.minor], group[~group.minor]
-            rc, rr, rn = right.c.to_numpy(), right.root.to_numpy(), right["size"].to_numpy()
-            sketches = [np.frombuffer(s, U) for s in right.sketch]
-            out = []
-            stacks: dict[int, np.ndarray] = {}
-            for c, root, n, sketch in zip(left.c, left.root, left["size"], left.sketch, strict=True):
-                s = np.frombuffer(sketch, U)
-                fits = (rr != root) & (self_den * np.minimum(rn, n) >= self_num * np.maximum(rn, n))
-                near: dict[int, list] = {}
-                for words in {min(len(s), len(sketches[i])) for i in np.flatnonzero(fits)}:
-                    if words not in stacks:
-                        stacks[words] = np.array([fold_to(x, words) if len(x) >= words else np.zeros(words, U) for x in sketches])
-                    here = np.flatnonzero(fits & np.array([min(len(s), len(x)) == words for x in sketches]))
-                    apart = np.bitwise_count(stacks[words][here] ^ fold_to(s, words)).sum(axis=1)
-                    for i, d in zip(here, apart, strict=True):
-                        if d <= bands.most(int(rn[i]), int(n)):
-                            near.setdefault(int(rr[i]), []).append((int(d), int(rc[i])))
-                for other, found in near.items():
-                    found.sort()
-                    out += [(min(c, x), max(c, x), len(found) > tries) for _, x in found[:tries]]
-            return pd.DataFrame(out, columns=["a", "b", "cut"]).astype({"a": "int64", "b": "int64", "cut": "bool"})
-
-        self_num, self_den = self.num, self.den
-        found = alls.unionByName(minors).groupBy("key", "i", "j").applyInPandas(compare, "a long, b long, cut boolean")
+        rows = m.join(open_, "key").join(self.sets.select("c", F.col("n").alias("size"), "sketch"), "c")
+        blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
+        own = lambda n: F.pmod(F.hash("c"), blocks(n)).cast("int")
+        each = lambda n: F.explode(F.sequence(F.lit(0), blocks(n) - 1))
+        columns = ("key", "c", "root", "size", "sketch")
+        all_ = rows.select(*columns, own("n").alias("i"), each("minor").alias("j"), F.lit(False).alias("minor"))
+        minor = rows.where("root <> main").select(*columns, each("n").alias("i"), own("minor").alias("j"), F.lit(True).alias("minor"))
+        dealt = all_.unionByName(minor).select("key", "i", "j", "minor", "c", "root", "size", "sketch").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "minor")
+        num, den = self.num, self.den
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            bands, held = Bands(num, den), []
+            for batch in batches:
+                held.append(batch)
+                table = pa.Table.from_batches(held).combine_chunks()
+                place = np.stack([table[k].to_numpy() for k in ("key", "i", "j")])
+                cuts = np.flatnonzero((place[:, 1:] != place[:, :-1]).any(axis=0)) + 1
+                if len(cuts):  # the last group may go on in the next batch
+                    yield pairs_of(table.slice(0, int(cuts[-1])), cuts[:-1], bands, tries)
+                    held = table.slice(int(cuts[-1])).combine_chunks().to_batches()
+            if held:
+                yield pairs_of(pa.Table.from_batches(held), np.zeros(0, int), bands, tries)
+
+        found = dealt.mapInArrow(run, "a long, b long, cut boolean")
         found = stored(found.groupBy("a", "b").agg(F.max("cut").alias("cut")), "join-near")
         return found.select("a", "b"), not found.where("cut").isEmpty()
 
 
+def pairs_of(rows: pa.Table, cuts: np.ndarray, bands: Bands, tries: int) -> pa.RecordBatch:
+    """Candidate pairs of the groups that lie between ``cuts``; in each, all members come first, then those that seek."""
+    seeks = rows["minor"].to_numpy()
+    c, root, size = (rows[k].to_numpy() for k in ("c", "root", "size"))
+    sketches = [np.frombuffer(x.as_buffer(), U) for x in rows["sketch"]]
+    out: list[tuple[int, int, bool]] = []
+    for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), rows.num_rows], strict=True):
+        first = lo + int(np.count_nonzero(~seeks[lo:hi]))
+        by_length: dict[int, list[int]] = {}
+        for k in range(lo, first):
+            by_length.setdefault(len(sketches[k]), []).append(k)
+        stacks = {(n, n): np.array([sketches[k] for k in ks]) for n, ks in by_length.items()}
+        for x in range(first, hi):
+            near: dict[int, list[tuple[int, int]]] = {}
+            for n, ks in by_length.items():
+                words = min(n, len(sketches[x]))
+                if (n, words) not in stacks:
+                    stacks[n, words] = np.array([fold_to(sketches[k], words) for k in ks])
+                at = np.array(ks)
+                apart = np.bitwise_count(stacks[n, words] ^ fold_to(sketches[x], words)).sum(axis=1)
+                fits = (root[at] != root[x]) & (bands.den * np.minimum(size[at], size[x]) >= bands.num * np.maximum(size[at], size[x]))
+                fits &= apart * (bands.den + bands.num) <= (bands.den - bands.num) * (size[at] + size[x])
+                for k, d in zip(at[fits].tolist(), apart[fits].tolist(), strict=True):
+                    near.setdefault(int(root[k]), []).append((d, int(c[k])))
+            for found in near.values():
+                found.sort()
+                out += [(min(int(c[x]), y), max(int(c[x]), y), len(found) > tries) for _, y in found[:tries]]
+    a, b, cut = zip(*out, strict=True) if out else ((), (), ())
+    return pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(cut, pa.bool_())], names=["a", "b", "cut"])
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """Components of documents whose sets of ``k``-word shingles have a Jaccard similarity of ``num / den`` or more."""
     return ParityJoin(docs, k, num, den).run()
