@@ -18,6 +18,7 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator
+from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 FRAME, HEAD, ENTRY = "<QI", "<qBB", "<qQQ"  # length and its check; start of a payload; entry of the index
-KEPT = 400_000  # entries of each table of encoded pieces that a worker holds; a full one is emptied
+KEPT = 350_000  # entries of each table of encoded pieces that a worker holds; a full one is emptied
 JOINED = 2000  # words that go to the library in one text
 
 
@@ -67,11 +68,13 @@ class Encoder:
     """Ids of whole texts as the tokenizers library gives them for a byte-level BPE file.
 
     The library's word pattern never lets a token span two of its words, so a text's ids are those of its words in a
-    row. Words are encoded by the library once and remembered. Texts with runs of white space, or white space other
-    than single blanks and line ends, go to the library whole.
+    row. Texts are cut at blanks and line ends; what stands between is encoded by the library once and remembered.
+    Texts with runs of white space, or white space other than single blanks and line ends, go to the library whole.
     """
 
-    ODD = re.compile(r"\s\s|[^\S\n ]")
+    # What makes a text odd, runs of white space and its other characters.
+    ODD = ["  ", " \n", "\n ", "\n\n", *map(chr, [9, 11, 12, 13, 28, 29, 30, 31, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])]
+    # Fixed value: the word pattern of byte-level vocabularies.
     WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 
     def __init__(self, path: str):
@@ -90,57 +93,59 @@ class Encoder:
         for token, i in self.lib.get_vocab().items():
             self.length[i] = len(token)
         self.words: dict[str, bytes] = {}
-        self.units: dict[str, bytes] = {}
+        self.after: dict[str, bytes] = {}  # what follows a blank, or begins with a line end -> ids with that blank
 
     def pack(self, ids) -> bytes:
         return np.array(ids, self.dtype).tobytes()
 
-    def whole(self, text: str) -> bytes:
-        return self.pack(self.lib.encode_batch_fast([text], add_special_tokens=False)[0].ids)
-
-    def units_of(self, text: str) -> list[str] | None:
-        """The text cut in front of each blank and line end; None if that could cut through a word of the pattern."""
-        if self.ODD.search(text):
-            return None
-        first, *rest = text.replace("\n", " \n").split(" ")
-        return [first, *(u if u[:1] == "\n" else " " + u for u in rest)]
+    def whole(self, texts: list[str]) -> list[bytes]:
+        return [self.pack(e.ids) for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
 
     def learn(self, units: Iterable[str]) -> None:
         """Encode units that aren't known yet: their new words in a few long texts, the ids dealt out by byte length."""
-        if len(self.units) > KEPT:
-            self.units.clear()
-        if len(self.words) > KEPT:
-            self.words.clear()
-        cut = {u: self.WORDS.findall(u) for u in units}
+        cut = {u: [led] if u.isalpha() else self.WORDS.findall(led) for u in units for led in (u if u[:1] == "\n" else " " + u,)}
         new = {w for ws in cut.values() for w in ws if w not in self.words}
-        plain = [w for w in new if w[w[0] == " " :].isalpha()]
         rest = [w for w in new if not w[w[0] == " " :].isalpha()]
-        for w, e in zip(rest, self.lib.encode_batch_fast(rest, add_special_tokens=False), strict=True):
-            self.words[w] = self.pack(e.ids)
+        self.words.update(zip(rest, self.whole(rest), strict=True))
+        plain = [w for w in new if w[w[0] == " " :].isalpha()]
         for i in range(0, len(plain), JOINED):
             some = plain[i : i + JOINED]
             led = [w if w[0] == " " else "\n" + w for w in some]  # a line end in front keeps it apart from the word before
             ids = np.array(self.lib.encode_batch_fast(["".join(led)], add_special_tokens=False)[0].ids, self.dtype)
             ends = np.cumsum(self.length[ids])
             stops = np.cumsum([len(w.encode()) for w in led])
-            starts = stops - [len(w.encode()) for w in some]
+            starts = np.concatenate([[0], stops[:-1]]) + [w[0] != " " for w in some]
             a, b = np.searchsorted(ends, starts, "right"), np.searchsorted(ends, stops, "right")
-            for w, x, y in zip(some, a, b, strict=True):
-                self.words[w] = ids[x:y].tobytes()
-        for u, ws in cut.items():
-            self.units[u] = b"".join([self.words[w] for w in ws])
+            packed = ids.tobytes()
+            self.words.update((w, packed[x:y]) for w, x, y in zip(some, (a * self.width).tolist(), (b * self.width).tolist(), strict=True))
+        words = self.words
+        self.after.update((u, words[ws[0]] if len(ws) == 1 else b"".join([words[w] for w in ws])) for u, ws in cut.items())
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Packed ids of each text."""
-        pieces = [self.split.split(t) if self.split else [t] for t in texts]
-        cut = [[self.units_of(p) if p not in self.special else None for p in ps] for ps in pieces]
-        missing = {u for us in cut for p in us if p for u in p if u not in self.units}
-        if missing:
-            if len(self.units) > KEPT:  # emptied below, so learn what is needed here anew
-                missing = {u for us in cut for p in us if p for u in p}
-            self.learn(missing)
-        get = self.units.__getitem__
-        return [b"".join([self.special[p] if p in self.special else b"".join(map(get, us)) if us is not None else self.whole(p) for p, us in zip(ps, uss, strict=True)]) for ps, uss in zip(pieces, cut, strict=True)]
+        if len(self.after) > KEPT:
+            self.after.clear()
+        if len(self.words) > KEPT:
+            self.words.clear()
+        out: list = []
+        for t in texts:
+            if any(s in t for s in self.special):
+                parts = self.split.split(t)
+                out.append(b"".join(self.special[p] if p in self.special else self.whole([p])[0] for p in parts if p))
+            elif any(x in t for x in self.ODD):
+                out.append(self.whole([t])[0])
+            else:
+                out.append(t.replace("\n", " \n").split(" "))
+        missing: set[str] = set()
+        known = self.after.__contains__
+        for units in out:
+            if type(units) is list:
+                missing.update(filterfalse(known, units[1:]))
+        self.learn(missing)
+        get = self.after.__getitem__
+        firsts = self.whole([units[0] for units in out if type(units) is list])
+        lead = iter(firsts)
+        return [next(lead) + b"".join(map(get, units[1:])) if type(units) is list else units for units in out]
 
 
 @functools.lru_cache(maxsize=2)
