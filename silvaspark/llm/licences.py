@@ -78,7 +78,8 @@ class Scanner:
 
     def __init__(self, templates: list[tuple[str, str]], least: float):
         self.names, self.least = [n for n, _ in templates], least
-        self.sets = [np.unique(bigrams(t)) for _, t in templates]
+        rows = [bigrams(t) for _, t in templates]
+        self.sets, self.spans = list(map(np.unique, rows)), list(map(len, rows))
         self.known = np.unique(np.concatenate(self.sets))
         self.low = np.zeros(1 << 16, bool)
         self.low[(self.known & U(0xFFFF)).astype(np.int64)] = True
@@ -94,7 +95,7 @@ class Scanner:
         good = (at < len(self.known)) & (self.known[np.minimum(at, len(self.known) - 1)] == b[places])
         places, at = places[good], at[good]
         found = []
-        for name, owned, own in zip(self.names, self.owns, self.sets, strict=True):
+        for name, owned, own, span in zip(self.names, self.owns, self.sets, self.spans, strict=True):
             mine = owned[at]
             n, p = len(own), places[mine]
             # size bounds: Dice is at most 2 * min / (n + window), so fewer hits than this cannot reach the threshold
@@ -102,14 +103,14 @@ class Scanner:
                 continue
             ids = at[mine]
             for start in p:
-                stop = min(start + n, len(b))
+                stop = min(start + span, len(b))
                 inside = (p >= start) & (p < stop)
                 shared = len(np.unique(ids[inside]))
                 if shared < self.least * n / (2 - self.least):
                     continue
                 dice = 2 * shared / (n + len(np.unique(b[start:stop])))
                 if dice >= self.least:
-                    found.append((-dice, -n, int(start), name))
+                    found.append((-dice, -span, int(start), name))
         taken, out = [], []
         for dice, n, start, name in sorted(found):
             if all(start + 1 - n <= a or start >= z for a, z in taken):
