@@ -1,11 +1,12 @@
 """Jaccard self-join of documents' word shingles by parity sketches, and its connected components.
 
-Every shingle flips one bit of a sketch, so two sketches differ in at most as many bits as the sets have shingles that
-are not shared. A pair that links has at most d = (1 - t) / (1 + t) * (|A| + |B|) of those. Documents are dealt into
-bands of set size; within a band the sketch is cut into more than d words, so a linked pair agrees in one word at least
-(pigeonhole): documents are joined on (band, place of the word, its bits). Nothing is lost: a document also visits the
-next band if a partner may live there, and words without any bit set, which would join strangers, are left out only by
-documents that have so few of them that a linked pair must share another word.
+Every shingle's hash is XORed into one word of a sketch (and flips one bit of a finer one), so two sketches differ in at
+most as many words (bits) as the sets have shingles that are not shared. A pair that links has at most
+d = (1 - t) / (1 + t) * (|A| + |B|) of those. Documents are dealt into bands of set size; within a band sketches have
+more than d words, so a linked pair agrees in one word at least (pigeonhole): documents are joined on (band, place of
+the word, its bits). Nothing is lost: a document also visits the next band if a partner may live there, and words that
+no shingle fell in, which would join strangers, are left out only by documents that have so few of them that a linked
+pair must share another word.
 
 Only what components need is verified, on the shingle sets themselves, and never all pairs of a group:
 1. documents with equal sets are one class;
@@ -103,7 +104,7 @@ class Bands:
         return [band, band + 1] if reach >= self.low[band + 1] else [band]
 
     def words(self, band: int) -> tuple[int, int]:
-        """Words of the band's sketches, and how many a document may leave out because no bit of them is set.
+        """Words of the band's sketches, and how many a document may leave out because nothing fell in them.
 
         A linked pair agrees in more words than may be left out. Their number allows for what words of a set of
         the smallest size are empty by chance.
@@ -116,10 +117,14 @@ class Bands:
         return d + 1 + spare, spare
 
 
-def parity(hashes: np.ndarray, words: int) -> np.ndarray:
-    """Sketch of ``words`` 64-bit words; each hash flips one bit."""
-    place = (((hashes >> U(32)) * U(words)) >> U(32)).astype(np.int64) * 64 + (hashes & U(63)).astype(np.int64)
-    return np.packbits((np.bincount(place, minlength=words * 64) & 1).astype(np.uint8), bitorder="little").view(U)
+def xor_words(hashes: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places and values of the words of a sketch that hashes fall in; each hash is XORed into the word of its range.
+
+    Hashes are sorted, so those of a word stand in a row.
+    """
+    place = ((hashes >> U(32)) * U(words)) >> U(32)
+    starts = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
+    return place[starts], np.bitwise_xor.reduceat(mix(hashes + U(3)), starts)
 
 
 def keys(hashes: np.ndarray, bands: Bands) -> np.ndarray:
@@ -128,9 +133,12 @@ def keys(hashes: np.ndarray, bands: Bands) -> np.ndarray:
     for band in bands.of(len(hashes)):
         words, spare = bands.words(band)
         if words:
-            sketch = parity(hashes, words)
-            used = np.arange(words) if (sketch == 0).sum() > spare else np.flatnonzero(sketch)
-            out.append(mix(mix(sketch[used] + np.full(1, band, U) * BASE) + used.astype(U)))
+            used, values = xor_words(hashes, words)
+            if words - len(used) > spare:
+                every = np.zeros(words, U)
+                every[used.astype(np.int64)] = values
+                used, values = np.arange(words).astype(U), every
+            out.append(mix(mix(values + np.full(1, band, U) * BASE) + used))
     return np.concatenate(out) if out else np.zeros(0, U)
 
 

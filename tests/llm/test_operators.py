@@ -230,7 +230,7 @@ def test_parity_join(docs, corpus, k, num):
 
 
 def test_parity_bound():
-    from silvaspark.llm.parity_join import Bands, U, fold_to, folded, keys, parity
+    from silvaspark.llm.parity_join import Bands, U, fold_to, folded, keys
 
     rng = np.random.default_rng(1)
     bands = Bands(90, 100)
@@ -240,7 +240,6 @@ def test_parity_bound():
             d = bands.most(n, n) // 2
             b = np.unique(np.concatenate([a[d:], rng.integers(0, 2**63, d).astype(U)]))
             differ = len(np.setxor1d(a, b))
-            assert np.bitwise_count(parity(a, 64) ^ parity(b, 64)).sum() <= differ
             assert np.intersect1d(keys(a, bands), keys(b, bands)).size > 0
             x, y = np.frombuffer(folded(a), U), np.frombuffer(folded(b), U)
             m = min(len(x), len(y))
