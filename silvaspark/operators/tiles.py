@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from silvaspark.operators.raster import Affine
+
 
 def tile_of(pixels: DataFrame, size: int) -> DataFrame:
     """Pixels with the key ``tile_r, tile_c`` of the only tile that holds them."""
@@ -115,6 +117,19 @@ def dispatch(pixels: DataFrame, func: Callable[[np.ndarray], object], how: str =
     raise ValueError(f"{how} is none of stitch, collect, reduce, none")
 
 
+def seed_tiles(tops: DataFrame, pixels: DataFrame, grid: Affine, size: int = 1024, overlap: int = 64) -> DataFrame:
+    """``tree_id, tile_r, tile_c, row, col, local_row, local_col, is_core``: treetops ``tree_id, x, y`` in every tile whose halo box holds them.
+
+    Tiles are those of the whole raster ``pixels``; treetops beyond its edge are in none. ``local_row, local_col`` count
+    from the first pixel of the tile with its halo.
+    """
+    boxes = in_raster(core_halo(pixels.select("row", "col"), size, overlap), size).groupBy("tile_r", "tile_c").agg(F.min("row").alias("r0"), F.max("row").alias("r1"), F.min("col").alias("c0"), F.max("col").alias("c1"))
+    row, col = grid.cell(F.col("x"), F.col("y"))
+    seeds = core_halo(tops.select("tree_id", row.alias("row"), col.alias("col")), size, overlap)
+    held = seeds.join(boxes, ["tile_r", "tile_c"]).where("row between r0 and r1 and col between c0 and c1")
+    return held.select("tree_id", "tile_r", "tile_c", "row", "col", (F.col("row") - F.col("r0")).alias("local_row"), (F.col("col") - F.col("c0")).alias("local_col"), "is_core")
+
+
 def strategy_report(df: DataFrame) -> dict:
     """What takes the place of a tiling strategy: the physical plan and the number of scan partitions."""
     return {"plan": df._jdf.queryExecution().explainString(df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")), "partitions": df.rdd.getNumPartitions()}

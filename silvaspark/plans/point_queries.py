@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from silvaspark.operators import points as pc
+from silvaspark.operators import tiles
 from silvaspark.operators.raster import Affine
 from silvaspark.plans.catalogue import query
 from silvaspark.sources.roles import CROWNS, HEIGHTS, POINTS, crowns, heights, points
@@ -109,6 +110,17 @@ def seed_pixels(spark, d):
     return c.select(F.col("crown_id").alias("tree_id"), row.alias("row"), col.alias("col")).where("col between 8 and 71 and row between 4 and 35")
 
 
+@query(f"""with {CROWNS}, {HEIGHTS}, t as (select distinct r // 32 as tile_r, c // 32 as tile_c from h), n as (select max(r) as mr, max(c) as mc from h),
+    s as (select id, cast(floor((miny + maxy) / 2) as int) as r, cast(floor((minx + maxx) / 2) as int) as c from k)
+    select id as tree_id, tile_r, tile_c, r as row, c as col, r - greatest(tile_r * 32 - 8, 0) as local_row, c - greatest(tile_c * 32 - 8, 0) as local_col, r // 32 = tile_r and c // 32 = tile_c as is_core
+    from s, t, n where r between 0 and mr and c between 0 and mc and r >= tile_r * 32 - 8 and r < tile_r * 32 + 40 and c >= tile_c * 32 - 8 and c < tile_c * 32 + 40""")
+def seed_pixels_tiles(spark, d):
+    """All crowns' seeds, in every tile of the height raster whose halo box holds them."""
+    c = crowns(spark, d)
+    tops = c.select(F.col("crown_id").alias("tree_id"), ((F.col("minx") + F.col("maxx")) / 2).alias("x"), ((F.col("miny") + F.col("maxy")) / 2).alias("y"))
+    return tiles.seed_tiles(tops, heights(spark, d), Affine(1.0, 0.0, 1.0, 0.0), 32, 8)
+
+
 @query(f"with {POINTS} select cast(rn as int) as return_number, count(*) as n, max(z) as top from p group by 1")
 def sink_roundtrip(spark, d):
     """Points written as Parquet by return number and read back."""

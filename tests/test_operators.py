@@ -92,6 +92,23 @@ def test_cloth_finds_the_plane(spark):
         points.points_to_grid(p, points.extent(p), 1.0, "median")
 
 
+def test_seeds_in_every_tile(spark):
+    """Every treetop of the raster is in its own tile once and in each tile whose halo box holds it; those beyond the edge are dropped."""
+    p = pixels(spark, np.zeros((50, 90)))
+    tops = [(i, float(x), float(y)) for i, (x, y) in enumerate([(0.5, 0.5), (7.5, 40.0), (8.0, 49.9), (9.9, 10.0), (75.0, 3.0), (89.9, 49.9), (90.0, 3.0), (-0.5, 3.0), (3.0, 50.0), (3.0, -30.0)])]
+    got = sorted(tuple(r) for r in tiles.seed_tiles(spark.createDataFrame(tops, "tree_id long, x double, y double"), p, raster.Affine(1.0, 0.0, 1.0, 0.0), 10, 2).collect())
+    want = []
+    for i, x, y in tops:
+        r, c = math.floor(y), math.floor(x)
+        for tr in range(5):
+            for tc in range(9):
+                r0, c0 = max(tr * 10 - 2, 0), max(tc * 10 - 2, 0)
+                if r0 <= r < min(tr * 10 + 12, 50) and c0 <= c < min(tc * 10 + 12, 90):
+                    want.append((i, tr, tc, r, c, r - r0, c - c0, r // 10 == tr and c // 10 == tc))
+    assert got == sorted(want)
+    assert sorted(g[0] for g in got if g[7]) == [0, 1, 2, 3, 4, 5]
+
+
 def test_tiles(spark):
     a = np.arange(300.0).reshape(15, 20)
     p = pixels(spark, a)
