@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from silvaspark.llm.licence_templates import families, texts
 from silvaspark.llm.parity_join import BASE, U, mix, word_hashes
 
 LEAST = 0.9
 
-# Licence notices and short licences as they stand in files, by SPDX identifier.
+# Licence notices and short licences as they stand in files, by SPDX identifier; licence_templates.py has more.
 TEMPLATES = [
     ("MIT", "Released under the MIT License."),
     ("MIT", "Licensed under the MIT License."),
@@ -73,6 +75,52 @@ def bigrams(text: str) -> np.ndarray:
     return mix((w[:-1] + U(1)) * BASE + w[1:]) if len(w) > 1 else np.zeros(0, U)
 
 
+# Words and versions that tell members of a family apart; a text that differs in one of them is another licence's.
+_CC_TELL = frozenset(["noncommercial", "sharealike", "noderivatives"])
+_TELL = _CC_TELL | {"lesser", "affero", "later", "nc", "sa", "nd"}
+_LEADS = frozenset(["version", "v", "license", "attribution", "by", *_CC_TELL, "nc", "sa", "nd"])
+WHOLE = 500  # word pairs from which a template is a whole licence text, where versions and "later" stand in its prose
+
+
+def _words(text: str) -> list[str]:
+    out = text.encode().translate(_PLAIN).decode("utf-8", "replace").lower().split(" ")
+    return ["noderivatives" if w == "noderivs" else w for w in out if w]
+
+
+def _telling(words: list[str], stop: int, whole: bool) -> frozenset[str]:
+    """What tells a licence from its siblings in the first ``stop`` words; a version may end beyond them."""
+    head = words[:stop]
+    if whole:
+        return _CC_TELL.intersection(head)
+    out = _TELL.intersection(head)
+    for i in range(len(head) - 1):
+        if head[i] == "library" and head[i + 1] == "general":
+            out |= {"library"}
+        elif head[i] in _LEADS and head[i + 1].isdigit():
+            minor = words[i + 2] if i + 2 < len(words) and len(words[i + 2]) == 1 and words[i + 2].isdigit() else "0"
+            out |= {f"{head[i + 1]}.{minor}"}
+    return frozenset(out)
+
+
+def _goes_on(name: str, words: list[str], short: bool) -> bool:
+    """Whether the words after a notice make it a sibling's: a further clause, or a later version."""
+    if name == "BSD-2-Clause" and short:
+        return words[:1] == ["3"] or words[:3] == ["neither", "the", "name"]
+    if name.startswith(("GPL", "LGPL", "AGPL")) and "later" not in name:
+        return words[:1] == ["or"] and "later" in words[:7]
+    return False
+
+
+def _distinct(places: np.ndarray, ids: np.ndarray, span: int, n: int) -> np.ndarray:
+    """For each start below ``n``, how many different ``ids`` have a place in the window of ``span`` that begins there."""
+    order = np.argsort(ids, kind="stable")
+    again = ids[order[1:]] == ids[order[:-1]]
+    last = np.full(len(places), -1)
+    last[order[1:][again]] = places[order[:-1][again]]
+    first = np.maximum(np.maximum(last, places - span) + 1, 0)
+    return np.cumsum(np.bincount(first, minlength=n + 1) - np.bincount(places + 1, minlength=n + 1))[:n]
+
+
 class Scanner:
     """Templates' bigram sets with a table of their low bits, so that most words of a text cost one look-up."""
 
@@ -81,57 +129,81 @@ class Scanner:
         rows = [bigrams(t) for _, t in templates]
         self.sets, self.spans = list(map(np.unique, rows)), list(map(len, rows))
         self.known = np.unique(np.concatenate(self.sets))
-        self.low = np.zeros(1 << 16, bool)
-        self.low[(self.known & U(0xFFFF)).astype(np.int64)] = True
-        self.owns = [np.isin(self.known, s) for s in self.sets]
+        self.low = np.zeros(1 << 20, bool)
+        self.low[(self.known & U(0xFFFFF)).astype(np.int64)] = True
+        self.owns = np.zeros((len(self.known), len(rows)), bool)
+        for i, s in enumerate(self.sets):
+            self.owns[np.searchsorted(self.known, s), i] = True
+        # size bounds: Dice is at most 2 * min / (n + window), so fewer hits than this cannot reach the threshold
+        self.need = np.array([least * len(s) / (2 - least) for s in self.sets])
+        self.tells = [_telling(w, len(w), n >= WHOLE) for w, n in zip((_words(t) for _, t in templates), self.spans, strict=True)]
 
     def scan(self, text: str) -> list[tuple[str, float, int, int]]:
-        """Licences found: ``(identifier, Dice, first word, words)``, the best of those that overlap, in order."""
+        """Licences found: ``(identifier, Dice, first word, words)``, the best of those that overlap, in order.
+
+        A find inside one of a template so much longer that it cannot match on the shorter one alone is part of that.
+        """
         b = bigrams(text)
-        places = np.flatnonzero(self.low[(b & U(0xFFFF)).astype(np.int64)])
+        places = np.flatnonzero(self.low[(b & U(0xFFFFF)).astype(np.int64)])
         if not len(places):
             return []
         at = np.searchsorted(self.known, b[places])
         good = (at < len(self.known)) & (self.known[np.minimum(at, len(self.known) - 1)] == b[places])
         places, at = places[good], at[good]
-        found = []
-        for name, owned, own, span in zip(self.names, self.owns, self.sets, self.spans, strict=True):
-            mine = owned[at]
-            n, p = len(own), places[mine]
-            # size bounds: Dice is at most 2 * min / (n + window), so fewer hits than this cannot reach the threshold
-            if len(p) < self.least * n / (2 - self.least):
+        if len(places) < self.need.min():
+            return []
+        found, words = [], None
+        for k in np.flatnonzero(np.count_nonzero(self.owns[at], axis=0) >= self.need):
+            mine, n, span = self.owns[at, k], len(self.sets[k]), self.spans[k]
+            p = places[mine]
+            starts = np.unique(p)
+            shared = _distinct(p, at[mine], span, len(b))[starts]
+            enough = shared >= self.need[k]
+            if not enough.any():
                 continue
-            ids = at[mine]
-            for start in p:
-                stop = min(start + span, len(b))
-                inside = (p >= start) & (p < stop)
-                shared = len(np.unique(ids[inside]))
-                if shared < self.least * n / (2 - self.least):
+            starts, shared = starts[enough], shared[enough]
+            dice = 2 * shared / (n + _distinct(np.arange(len(b)), b, span, len(b))[starts])
+            words = _words(text) if words is None else words
+            mine_taken = []
+            for i in np.lexsort((starts, -dice)):
+                start = int(starts[i])
+                if dice[i] < self.least:
+                    break
+                if any(abs(start - s) < span + 1 for s in mine_taken):
                     continue
-                dice = 2 * shared / (n + len(np.unique(b[start:stop])))
-                if dice >= self.least:
-                    found.append((-dice, -span, int(start), name))
+                mine_taken.append(start)
+                stop = int(p[np.searchsorted(p, start + span) - 1]) + 2  # past the last word that the template has too
+                if _telling(words[start : stop + 1], stop - start, span >= WHOLE) == self.tells[k] and not _goes_on(self.names[k], words[stop : stop + 7], span < 100):
+                    found.append((-float(dice[i]), -span, start, self.names[k], n, self.need[k]))
+        found = [f for f in found if not any(f[4] < g[5] and g[2] <= f[2] and f[2] - f[1] <= g[2] - g[1] for g in found)]
         taken, out = [], []
-        for dice, n, start, name in sorted(found):
+        for dice, n, start, name, _, _ in sorted(found):
             if all(start + 1 - n <= a or start >= z for a, z in taken):
                 taken.append((start, start + 1 - n))
                 out.append((name, -dice, start, 1 - n))
         return sorted(out, key=lambda x: x[2])
 
 
+@lru_cache(4)
+def _scanner(templates: tuple[tuple[str, str], ...], least: float) -> Scanner:
+    """Kept by a worker from task to task: setting up costs more than a small task."""
+    return Scanner(list(templates), least)
+
+
 def scan_licences(docs: DataFrame, templates: list[tuple[str, str]] | None = None, least: float = LEAST) -> DataFrame:
     """Per row of ``docs``: ``doc_id, licence`` (best match, null if none), ``dice, n_found, found``.
 
     ``found`` lists every licence in the text in order, as structs of ``licence, dice, first_word, n_words``. Whole
     texts are scanned, in windows as long as each template. Ties go to the longer template, then to the earlier place.
+    A window whose licence names or versions are not the template's (a sibling that has no template) is no find.
     Null, empty and one-word texts have none; repeated rows give repeated rows; other columns are not read. Templates
     (a fixed list) travel with the tasks; nothing is shuffled.
     """
-    given = templates if templates is not None else TEMPLATES
+    given = tuple(map(tuple, templates if templates is not None else TEMPLATES + families() + texts()))
     kind = pa.list_(pa.struct([("licence", pa.string()), ("dice", pa.float64()), ("first_word", pa.int64()), ("n_words", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = Scanner(given, least)
+        scanner = _scanner(given, least)
         for batch in batches:
             found = [scanner.scan(t.as_py() or "") for t in batch.column(1)]
             best = [min(f, key=lambda x: (-x[1], -x[3], x[2]), default=(None, None)) for f in found]

@@ -265,6 +265,38 @@ def test_licences(docs):
         assert best < 0.9 or got[i].dice >= best
 
 
+def test_licence_siblings(docs):
+    """Members of a licence family get their own name, those without a template none, and whole texts one find."""
+    from silvaspark.llm.licence_templates import families, texts
+    from silvaspark.llm.licences import TEMPLATES, scan_licences
+
+    rng = random.Random(9)
+    head = next(t for n, t in TEMPLATES if n == "GPL-3.0-or-later")
+    cc = "This work is licensed under a Creative Commons {} {} International License."
+    want = [
+        (head, "GPL-3.0-or-later"),
+        (head.replace("version 3", "version 2"), "GPL-2.0-or-later"),
+        (head.replace("General", "Lesser General"), "LGPL-3.0-or-later"),
+        (head.replace("General", "Affero General"), "AGPL-3.0-or-later"),
+        (head.replace("version 3", "version 7"), None),
+        ("This work is licensed under the GNU Lesser General Public License, version 2.1.", "LGPL-2.1"),
+        ("This work is licensed under the GNU General Public License, version 3 or later.", "GPL-3.0-or-later"),
+        ("This work is licensed under the GNU General Public License, version 4.", None),
+        (cc.format("Attribution-ShareAlike", "4.0"), "CC-BY-SA-4.0"),
+        (cc.format("Attribution-NonCommercial", "4.0"), "CC-BY-NC-4.0"),
+        (cc.format("Attribution", "4.0"), "CC-BY-4.0"),
+        (cc.format("Attribution", "5.0"), None),
+    ]
+    want += [(t, n) for n, t in families()]
+    want += [(re.sub("copyright holder", "Example Company", t), n) for n, t in families() if n == "BSD-3-Clause"]
+    whole = [(" ".join(w for i, w in enumerate(t.split()) if i % 97), n) for n, t in texts()]  # nearly whole: a word in 97 is lost
+    rows = [(i, text(rng, 20) + "\n" + t + "\n" + text(rng, 20)) for i, (t, _) in enumerate(want + whole)]
+    got = {r.doc_id: r for r in scan_licences(docs(rows)).collect()}
+    wrong = [(name, got[i].licence, t[:80]) for i, (t, name) in enumerate(want + whole) if got[i].licence != name]
+    assert not wrong
+    assert all(got[i].n_found == 1 for i in range(len(want), len(rows)))
+
+
 def test_token_records(spark, docs, corpus):
     from tokenizers import Tokenizer
 
