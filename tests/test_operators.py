@@ -79,6 +79,30 @@ def test_footprint_closes_holes():
     assert kernels.components(np.array([[1, 0, 1], [1, 0, 1], [0, 0, 1]], bool)).tolist() == [[1, 0, 2], [1, 0, 2], [0, 0, 2]]
 
 
+def test_footprint_does_not_depend_on_tiles(spark):
+    """Holes wider than a tile and its halo, a ring around an island, and a winding gap that reaches the raster's edge."""
+    a = np.ones((60, 70))
+    a[6:36, 5:45] = np.nan
+    a[15:26, 15:30] = 1.0
+    a[42:48, 5:65] = np.nan
+    a[6:48, 58:64] = np.nan
+    a[6:12, 50:64] = np.nan
+    a[42:60, 5:11] = np.nan
+    a[52:58, 20:60] = np.nan
+    want = kernels.footprint(~np.isnan(a)).astype(float)
+    assert want[6:36, 5:45].all() and not want[8, 52] and want[54, 40]
+    for size, overlap in ((8, 4), (13, 0), (1024, 64)):
+        assert np.array_equal(grid(focal.footprint_closing(pixels(spark, a), size, overlap), a.shape), want)
+    rare = np.where(np.random.default_rng(4).random((50, 50)) < 0.04, 1.0, np.nan)
+    rare[:, 20:32] = np.nan
+    rare[[0, -1], :] = rare[:, [0, -1]] = 1.0  # pixels without a row: in whole tiles, and a hole across them
+    got = focal.footprint_closing(pixels(spark, rare).where("v is not null"), 7, 4).collect()
+    want = kernels.footprint(~np.isnan(rare))
+    assert sorted((r.row, r.col) for r in got) == sorted(zip(*(x.tolist() for x in np.nonzero(~np.isnan(rare))), strict=True))
+    assert all(r.v == want[r.row, r.col] for r in got)
+    assert np.array_equal(grid(focal.footprint_closing(pixels(spark, rare), 7, 4), rare.shape), want)
+
+
 def test_cloth_finds_the_plane(spark):
     rows = [(float(x), float(y), 0.1 * x + (5.0 if 8 <= x < 11 and 8 <= y < 11 else 0.0)) for x in range(20) for y in range(20)]
     p = spark.createDataFrame(rows, "x double, y double, z double").withColumn("classification", F.lit(5)).withColumn("return_number", F.lit(1))
