@@ -96,6 +96,12 @@ def point_scan(spark, d):
     return points(spark, d).where("z > 50000 and return_number = 1")
 
 
+@query(f"with {POINTS} select x, y, z, cls as classification, rn as return_number from p")
+def point_cloud(spark, d):
+    """The whole cloud, as a load gives it."""
+    return points(spark, d)
+
+
 @query(f"with {HEIGHTS} select r as row, c as col, (c + 0.5) * 0.5 + 1000.0 as x, (r + 0.5) * -0.5 + 2000.0 as y from h")
 def pixel_to_xy(spark, d):
     x, y = Affine(0.5, 1000.0, -0.5, 2000.0).center(F.col("row"), F.col("col"))

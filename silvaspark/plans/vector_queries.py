@@ -16,6 +16,12 @@ def vector_scan(spark, d):
     return crowns(spark, d).where("minx >= 10 and maxx <= 60 and miny >= 5 and maxy <= 50")
 
 
+@query(f"with {CROWNS} select id as crown_id, species, minx, miny, maxx, maxy from k")
+def vector_layer(spark, d):
+    """The whole layer, as a load gives it."""
+    return crowns(spark, d)
+
+
 @query(f"with {CROWNS} select id as crown_id, species, minx, miny, maxx, maxy from k where maxx - minx > 5")
 def filter_vector(spark, d):
     return vector.filter_vector(crowns(spark, d), lambda df: df.maxx - df.minx > 5)
@@ -130,12 +136,22 @@ def schema_join(spark, d):
 @query("select event_id as image_id, cast(i as int) as band_index, 400.0 + 100.0 * i as wavelength_nm, 'B' || i as band_name from events, range(1, 4) t(i) where event_type = (select min(event_type) from events)")
 def register_image_bands(spark, d):
     e = table(spark, d, "events")
-    images = e.where(F.col("event_type") == e.agg(F.min("event_type")).scalar()).select(F.col("event_id").alias("id"), F.col("ts").alias("acquisition_datetime"))
+    return _bands(e.where(F.col("event_type") == e.agg(F.min("event_type")).scalar()))
+
+
+def _bands(e):
+    images = e.select(F.col("event_id").alias("id"), F.col("ts").alias("acquisition_datetime"))
     band = lambda i: F.struct(i.cast("int").alias("band_index"), (F.lit(400.0) + 100.0 * i).alias("wavelength_nm"), F.concat(F.lit("B"), i.cast("string")).alias("band_name"))
     _, bands = store.register_image(images.withColumn("bands", F.transform(F.sequence(F.lit(1), F.lit(3)), band)))
     return bands
 
 
+@query("select event_id as image_id, cast(i as int) as band_index, 400.0 + 100.0 * i as wavelength_nm, 'B' || i as band_name from events, range(1, 4) t(i)")
+def register_all_bands(spark, d):
+    """Bands of every acquisition, whatever its type."""
+    return _bands(table(spark, d, "events"))
+
+
 @query("select event_id as id, try_cast(json_extract_string(case when json_valid(props) then props end, '$.k') as double) as k, json_valid(props) as valid from events")
 def json_metrics(spark, d):
     e = table(spark, d, "events").withColumnRenamed("props", "metrics")
