@@ -12,6 +12,11 @@ from pyspark.sql import functions as F
 from silvaspark.operators.raster import Affine
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """Computed once: in the checkpoint folder if there is one, else by the executors."""
+    return df.checkpoint() if df.sparkSession.conf.get("spark.checkpoint.dir", None) else df.localCheckpoint()
+
+
 def tile_of(pixels: DataFrame, size: int) -> DataFrame:
     """Pixels with the key ``tile_r, tile_c`` of the only tile that holds them."""
     return pixels.withColumn("tile_r", F.floor(F.col("row") / size).cast("int")).withColumn("tile_c", F.floor(F.col("col") / size).cast("int"))

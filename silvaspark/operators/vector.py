@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, BooleanType
 
 from silvaspark.functions import geometry
+from silvaspark.operators.tiles import kept
 
 GEOMETRY = {"geom", "srid", "minx", "miny", "maxx", "maxy", "x", "y", "z"}
 
@@ -136,8 +137,9 @@ def numbered(df: DataFrame, keys: list[str]) -> DataFrame:
     """``__n``: the rows' numbers from 0 in order of ``keys``, without one task for all.
 
     Rows are range-partitioned and sorted; each partition's size gives where the next begins (a row per partition).
+    They are kept, as two exchanges would sample other ranges and count other partitions than those that are numbered.
     """
-    ordered = df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("__p", F.spark_partition_id()).withColumn("__m", F.monotonically_increasing_id())
+    ordered = kept(df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("__p", F.spark_partition_id()).withColumn("__m", F.monotonically_increasing_id()))
     sizes = ordered.groupBy("__p").agg(F.count(F.lit(1)).alias("n"), F.min("__m").alias("m"))
     start = sizes.select("__p", (F.coalesce(F.sum("n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) - F.col("m")).alias("__s"))
     return ordered.join(start, "__p").withColumn("__n", F.col("__m") + F.col("__s")).drop("__p", "__m", "__s")

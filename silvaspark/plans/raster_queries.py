@@ -218,6 +218,15 @@ def candidates_sorted(spark, d):
     return numbered(tall, ["a", "b", "c"]).select("row", "col", "v", F.col("__n").alias("rank"))
 
 
+@query(f"with {HEIGHTS} select r as row, c as col, v, row_number() over (order by v desc, r desc, c desc) - 1 as rank from h where v >= 2")
+def candidates_ranked(spark, d):
+    """All candidates of a detection, from the height on that ``treetops_lmf`` takes."""
+    from silvaspark.operators.vector import numbered
+
+    tall = heights(spark, d).where("v >= 2").select("row", "col", "v", (-F.col("v")).alias("a"), (-F.col("row")).alias("b"), (-F.col("col")).alias("c"))
+    return numbered(tall, ["a", "b", "c"]).select("row", "col", "v", F.col("__n").alias("rank"))
+
+
 def _pass(source: str, f: str) -> str:
     return f"(select r, c, {f}(m) over (partition by c order by r range between 1 preceding and 1 following) as v from (select r, c, {f}(v) over (partition by r order by c range between 1 preceding and 1 following) as m from {source}))"
 

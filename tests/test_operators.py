@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from silvaspark.functions import geometry, kernels, scalar
 from silvaspark.operators import focal, points, raster, similarity, store, tiles, vector, zonal
+from silvaspark.sources.roles import heights
 
 
 def pixels(spark, a):
@@ -116,6 +117,14 @@ def test_cloth_finds_the_plane(spark):
         points.points_to_grid(p, points.extent(p), 1.0, "median")
 
 
+def test_numbers_have_no_gap_on_many_rows(spark):
+    """More rows than a sample of the ranges holds: every row is numbered once, in order."""
+    tall = heights(spark, "/root/testdata/sf0.1").select("row", "col", "v", (-F.col("v")).alias("a"), (-F.col("row")).alias("b"), (-F.col("col")).alias("c"))
+    got = vector.numbered(tall, ["a", "b", "c"]).select("row", "col", "v", F.col("__n").alias("n")).toPandas()
+    want = got.sort_values(["v", "row", "col"], ascending=False)
+    assert len(got) == 150000 and want.n.tolist() == list(range(150000))
+
+
 def test_seeds_in_every_tile(spark):
     """Every treetop of the raster is in its own tile once and in each tile whose halo box holds it; those beyond the edge are dropped."""
     p = pixels(spark, np.zeros((50, 90)))

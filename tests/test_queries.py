@@ -58,3 +58,9 @@ def test_whole_tables(spark, duck):
     got = {n: catalogue.queries()[n](spark, SF).count() for n in ("vector_layer", "point_cloud", "register_all_bands")}
     want = {n: duck.execute(f"select {k} * count(*) from {t}").fetchone()[0] for n, t, k in (("vector_layer", "part", 1), ("point_cloud", "lineitem", 1), ("register_all_bands", "events", 3))}
     assert got == want
+
+
+def test_all_candidates_are_ranked(spark, duck):
+    """Every pixel of the production height has a rank, from 0 without a gap."""
+    ranks = sorted(r["rank"] for r in catalogue.queries()["candidates_ranked"](spark, SF).collect())
+    assert ranks == list(range(duck.execute("select count(*) from orders where o_totalprice >= 2").fetchone()[0]))
