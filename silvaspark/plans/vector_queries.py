@@ -199,6 +199,13 @@ def to_crs_3857(spark, d):
     return vector.to_web_mercator(t).select("tree_id", F.round("x", 4).alias("x"), (F.round("y", 4) + 0.0).alias("y"))
 
 
+@query(f"with {TREES} select tree_id, round(radians(x) * 6378137, 4) as x, round(ln(tan(pi() / 4 + radians(y % 8000 / 100) / 2)) * 6378137, 4) + 0.0 as y from t")
+def to_crs_3857_all(spark, d):
+    """Every tree, at a latitude below 80 degrees whatever its key."""
+    t = trees(spark, d).select("tree_id", F.col("x").alias("lon"), (F.col("y") % 8000 / 100).alias("lat"))
+    return vector.to_web_mercator(t).select("tree_id", F.round("x", 4).alias("x"), (F.round("y", 4) + 0.0).alias("y"))
+
+
 @query()
 def validate_geoms(spark, d):
     """Crowns as polygons, every third a bow-tie that is repaired and every seventh without area that is dropped."""

@@ -64,3 +64,10 @@ def test_all_candidates_are_ranked(spark, duck):
     """Every pixel of the production height has a rank, from 0 without a gap."""
     ranks = sorted(r["rank"] for r in catalogue.queries()["candidates_ranked"](spark, SF).collect())
     assert ranks == list(range(duck.execute("select count(*) from orders where o_totalprice >= 2").fetchone()[0]))
+
+
+def test_every_tree_is_projected(spark, tmp_path):
+    """Keys beyond those of the given tables are kept too, at a finite place."""
+    spark.range(0, 1500000, 100000).selectExpr("id + 49 as c_custkey", "'A' as c_mktsegment").write.parquet(f"{tmp_path}/customer.parquet")
+    got = catalogue.queries()["to_crs_3857_all"](spark, str(tmp_path)).collect()
+    assert len(got) == 15 and all(math.isfinite(r.y) and abs(r.y) < 2.0037e7 for r in got)
