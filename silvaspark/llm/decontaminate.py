@@ -4,10 +4,10 @@ Postings hold an item's BM25 weight of a term as a share of what the item scores
 threshold suits short and long items. A passage retrieves all items at or above it; lists are skipped by their upper
 bounds, then by those of their blocks. Before that, passages are left out in which no item can reach the threshold:
 its common terms count in full, its rare terms as far as the passage has them. Retrieved items are verified on the words: shingles of the question, words of
-the answer.
+the answer; of items given as one text, also shingles of the whole item.
 
 The index is broadcast in shards of at most ``SHARD_WORDS`` words of items (checked by a count; most benchmarks are
-one shard), each with its own term statistics; documents are read once per shard and never shuffled.
+one shard), all with the term statistics of the whole benchmark; documents are read once per shard and never shuffled.
 """
 
 from __future__ import annotations
@@ -16,6 +16,8 @@ import re
 from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -58,22 +60,44 @@ def question_answer(text: str) -> tuple[str, str]:
     return (" ".join(parts[:-1]), parts[-1]) if len(parts) > 1 else (text, "")
 
 
+@dataclass
+class Statistics:
+    """What the weights of terms rest on: number of items, their words, the longest, and in how many items each term is."""
+
+    n: int
+    n_words: int
+    longest: int
+    terms: np.ndarray
+    df: np.ndarray
+
+    @staticmethod
+    def of(items: list[np.ndarray]) -> Statistics:
+        terms, df = np.unique(np.concatenate([np.zeros(0, U), *map(np.unique, items)]), return_counts=True)
+        return Statistics(len(items), sum(map(len, items)), max(map(len, items), default=0), terms, df)
+
+    def __add__(self, other: Statistics) -> Statistics:
+        terms, place = np.unique(np.concatenate([self.terms, other.terms]), return_inverse=True)
+        df = np.bincount(place, np.concatenate([self.df, other.df]), len(terms)).astype(np.int64)
+        return Statistics(self.n + other.n, self.n_words + other.n_words, max(self.longest, other.longest), terms, df)
+
+
 class Index:
     """Inverted index of items with block maxima."""
 
-    def __init__(self, items: list[tuple[int, str, str]]):
+    def __init__(self, items: list[tuple[int, str, str]], whole: bool = False, of: Statistics | None = None):
+        """``whole``: the items had no answer of their own, so that the whole item also counts; ``of``: all shards' statistics."""
+        self.whole = whole
         self.ids = [i for i, _, _ in items]
         self.question = [words(q) for _, q, _ in items]
         self.answer = [np.unique(words(a)) for _, _, a in items]
         every = [np.concatenate([q, words(a)]) for q, (_, _, a) in zip(self.question, items, strict=True)]
-        self.longest = max(map(len, every), default=0)
-        mean = max(1.0, sum(map(len, every)) / max(1, len(every)))
+        self.every = every if whole else []
+        of = Statistics.of(every) if of is None else of
+        self.longest, mean = of.longest, max(1.0, of.n_words / max(1, of.n))
         counts = [dict(zip(*(x.tolist() for x in np.unique(w, return_counts=True)), strict=True)) for w in every]
-        df: dict[int, int] = defaultdict(int)
-        for c in counts:
-            for t in c:
-                df[t] += 1
-        idf = {t: float(np.log(1 + (len(items) - n + 0.5) / (n + 0.5))) for t, n in df.items()}
+        own_terms = np.unique(np.concatenate(every)) if every else np.zeros(0, U)
+        df = dict(zip(own_terms.tolist(), of.df[np.searchsorted(of.terms, own_terms)].tolist(), strict=True))
+        idf = {t: float(np.log(1 + (of.n - n + 0.5) / (n + 0.5))) for t, n in df.items()}
         postings: dict[int, list[tuple[int, float]]] = defaultdict(list)
         for i, (c, w) in enumerate(zip(counts, every, strict=True)):
             weight = {t: idf[t] * f * (K1 + 1) / (f + K1 * (1 - B + B * len(w) / mean)) for t, f in c.items()}
@@ -197,6 +221,12 @@ class Index:
         got = np.isin(own, shingles(passage, n)).mean() if len(own) else 1.0
         return float(got), float(np.isin(a, passage).mean()) if len(a) else 1.0
 
+    def holds(self, item: int, passage: np.ndarray) -> bool:
+        """Whether the passage has enough of the whole item's shingles, wherever its last sentence begins."""
+        own = self.every[item]
+        n = max(1, min(SHINGLE, len(own)))
+        return bool(np.isin(np.unique(shingles(own, n)), shingles(passage, n)).mean() >= QUESTION)
+
     def search(self, text: str, least: float = LEAST) -> list[tuple[int, float, float, float, int]]:
         """Verified items of a whole text: ``(item id, score, question share, answer share, first word)``, best passage each.
 
@@ -216,7 +246,7 @@ class Index:
                 continue
             for item, score in self.retrieve(terms.tolist(), least):
                 q, a = self.overlap(item, w[s : s + size])
-                if q >= QUESTION and a >= ANSWER and (item not in best or (q, a, score) > best[item][:3]):
+                if (q >= QUESTION and a >= ANSWER or self.whole and self.holds(item, w[s : s + size])) and (item not in best or (q, a, score) > best[item][:3]):
                     best[item] = (q, a, score, s)
         return sorted((self.ids[i], score, q, a, s) for i, (q, a, score, s) in best.items())
 
@@ -231,12 +261,20 @@ def indexes(items: DataFrame) -> Iterator[Index]:
         size = word_count(F.col("text"))
     items = items.where("item_id is not null").distinct()
     shards = -(-(items.agg(F.sum(size)).first()[0] or 0) // SHARD_WORDS)
-    for shard in range(shards):
+    whole = "question" not in items.columns
+
+    def parts(shard: int) -> list[tuple[int, str, str]]:
         rows = items.where(F.pmod(F.xxhash64("item_id"), F.lit(shards)) == shard).orderBy("item_id", items.columns[1]).toArrow().to_pylist()
-        parts = [(r["item_id"], *((r["question"], r["answer"]) if "question" in r else question_answer(r["text"]))) for r in rows]
-        parts = [p for p in parts if words(p[1]).size]
-        if parts:
-            yield Index(parts)
+        split = [(r["item_id"], *(question_answer(r["text"]) if whole else (r["question"], r["answer"]))) for r in rows]
+        return [p for p in split if words(p[1]).size]
+
+    of = None  # one shard has its own; more are read twice, so that weights do not depend on their number
+    if shards > 1:
+        of = reduce(Statistics.__add__, (Statistics.of([np.concatenate([words(q), words(a)]) for _, q, a in parts(shard)]) for shard in range(shards)))
+    for shard in range(shards):
+        found = parts(shard)
+        if found:
+            yield Index(found, whole, of)
 
 
 def contamination(docs: DataFrame, items: DataFrame, least: float = LEAST) -> DataFrame:

@@ -265,6 +265,25 @@ def test_licences(docs):
         assert best < 0.9 or got[i].dice >= best
 
 
+def test_decontamination_of_whole_items_in_shards(spark, docs, monkeypatch):
+    """An item all of whose text but the last sentence is there is found; scores do not depend on the number of shards."""
+    from silvaspark.llm import decontaminate as dc
+
+    rng = random.Random(12)
+    fresh = lambda i, n: " ".join(f"{rng.choice(WORDS)}{i}" if rng.random() < 0.5 else rng.choice(WORDS) for _ in range(n))
+    bodies = [fresh(i, rng.choice([20, 40, 60])) for i in range(30)]
+    items = spark.createDataFrame([(i, f"{t}. Wordlast{i}.") for i, t in enumerate(bodies)], "item_id long, text string")
+    d = docs([(i, text(rng, 60) + " " + t + " " + text(rng, 60)) for i, t in enumerate(bodies)] + [(100, text(rng, 200))])
+    hits = lambda: sorted(map(tuple, dc.contamination(d, items).collect()))
+    one = hits()
+    assert {(h[0], h[1]) for h in one} >= {(i, i) for i in range(30)} and not any(h[0] == 100 for h in one)
+    assert [r.doc_id for r in dc.decontaminate(d, items).collect()] == [100]
+    monkeypatch.setattr(dc, "SHARD_WORDS", 250)
+    many = hits()
+    assert [(h[:2], h[3:]) for h in many] == [(h[:2], h[3:]) for h in one]
+    assert np.allclose([h[2] for h in many], [h[2] for h in one])
+
+
 def test_licence_siblings(docs):
     """Members of a licence family get their own name, those without a template none, and whole texts one find."""
     from silvaspark.llm.licence_templates import families, texts
