@@ -167,14 +167,18 @@ def similar(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
 
 
 class ParityJoin:
-    """One self-join of ``docs (doc_id, text)``; ``num / den`` is the least similarity that links."""
+    """One self-join of ``docs (doc_id, text)``; ``num / den`` is the least similarity that links.
 
-    def __init__(self, docs: DataFrame, k: int = 5, num: int = 80, den: int = 100):
-        self.docs, self.k, self.num, self.den = docs.select("doc_id", "text"), k, num, den
+    With ``every_link`` all candidate pairs of classes are verified, so that ``n_links`` is the number of other texts
+    that a text is similar to; that grows with the square of a group of near copies, as the links themselves do.
+    """
+
+    def __init__(self, docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, every_link: bool = False):
+        self.docs, self.k, self.num, self.den, self.every_link = docs.select("doc_id", "text"), k, num, den, every_link
         self.spark = docs.sparkSession
 
     def run(self) -> DataFrame:
-        """Per row of ``docs``: ``doc_id, n_shingles, component_id, n_links`` (verified links that join components).
+        """Per row of ``docs``: ``doc_id, n_shingles, component_id, n_links`` (verified links that join components, or all).
 
         Null and blank texts have no shingle and link with nothing: their component is their own doc_id. Rows with a
         null doc_id do not link others, and get the component of documents with the same set, or null. Rows that
@@ -226,7 +230,7 @@ class ParityJoin:
         return self.docs.where("doc_id is not null").mapInArrow(run, "key long, g1 long")
 
     def _links(self) -> DataFrame:
-        """Verified links ``a, b`` between classes, enough of them for the components."""
+        """Verified links ``a, b`` between classes: enough of them for the components, or with ``every_link`` all."""
         keyed = self._keyed()  # made twice: its rows would be most of what a run writes
         shared = keyed.groupBy("key").agg(F.min("g1").alias("lead"), F.max("g1").alias("last")).where("lead <> last").select("key", "lead")
         shared = stored(shared, "join-shared")
@@ -236,6 +240,9 @@ class ParityJoin:
         members = stored(members.distinct().join(of, "g1").select("key", "lead", "c"), "join-members")
         leads = of.select(F.col("g1").alias("lead"), F.col("c").alias("a"))
         self.sets = self._sets(members.select("c").distinct())
+        if self.every_link:
+            a, b = members.select("key", F.col("c").alias("a")), members.select("key", F.col("c").alias("b"))
+            return stored(self._verify(a.join(b, "key").where("a < b").select("a", "b").distinct()), "join-verified").where("linked").select("a", "b")
         pairs = members.join(leads, "lead").where("a <> c").groupBy(F.col("a"), F.col("c").alias("b")).agg(F.count(F.lit(1)).alias("n"))
         pairs = stored(pairs, "join-pairs")
         best = pairs.groupBy("b").agg(F.max_by("a", F.struct("n", -F.col("a"))).alias("a"))
@@ -370,9 +377,9 @@ def pairs_of(rows: pa.Table, cuts: np.ndarray, bands: Bands, tries: int) -> pa.R
     return pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(cut, pa.bool_())], names=["a", "b", "cut"])
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, every_link: bool = False) -> DataFrame:
     """Components of documents whose sets of ``k``-word shingles have a Jaccard similarity of ``num / den`` or more."""
-    return ParityJoin(docs, k, num, den).run()
+    return ParityJoin(docs, k, num, den, every_link).run()
 
 
 def one_of_each(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:

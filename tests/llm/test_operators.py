@@ -229,6 +229,19 @@ def test_parity_join(docs, corpus, k, num):
         assert near_duplicates(docs([])).collect() == []
 
 
+def test_parity_join_counts_every_link(docs, corpus):
+    from silvaspark.llm.parity_join import near_duplicates, shingle_set
+
+    of = {i: frozenset(shingle_set(t.encode(), 5).tolist()) for i, t in corpus if i is not None and t}
+    texts = {s for s in of.values() if s}
+    want = {s: sum(100 * len(s & o) >= 80 * len(s | o) for o in texts) - 1 for s in texts}
+    assert max(want.values()) > 10
+    rows = [r for r in near_duplicates(docs(corpus), every_link=True).collect() if r.doc_id is not None]
+    got = {r.doc_id: r.n_links for r in rows}
+    assert all(got[i] == want.get(s, 0) for i, s in of.items())
+    assert {r.doc_id: r.component_id for r in near_duplicates(docs(corpus)).collect() if r.doc_id is not None} == {r.doc_id: r.component_id for r in rows}
+
+
 def test_parity_bound():
     from silvaspark.llm.parity_join import Bands, U, fold_to, folded, keys
 
