@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 INDICES: dict[str, tuple[str, dict[str, float]]] = {"NDVI": ("try_divide(nir - red, nir + red)", {"nir": 850.0, "red": 650.0})}
 
 
+#: Fixed value: the pattern of a wavelength in a band's name.
+WAVELENGTH = r"(?i)(\d+(?:\.\d+)?)\s*(?:nm|nanometers?)"
+
+
 def register_index(name: str, formula: str, wavelengths: dict[str, float]) -> None:
     INDICES[name.upper()] = (formula, dict(wavelengths))
 
@@ -21,8 +25,8 @@ def get_index(name: str) -> tuple[str, dict[str, float]]:
 
 
 def wavelength(name: Column) -> Column:
-    """Number in front of nm or nanometer(s) in a band's name, any case; -1 without."""
-    found = F.regexp_extract(name, r"(?i)(\d+(?:\.\d+)?)\s*(?:nm|nanometers?)\b", 1)
+    """Number in front of nm or nanometer(s) in a band's name, any case, whatever follows; -1 without."""
+    found = F.regexp_extract(name, WAVELENGTH, 1)
     return F.coalesce(F.when(found != "", found.cast("double")), F.lit(-1.0))
 
 

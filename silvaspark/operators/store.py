@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from silvaspark.functions import geometry
-from silvaspark.operators.vector import assign_tree_ids, prepare_treetops
+from silvaspark.operators.tiles import kept
+from silvaspark.operators.vector import assign_tree_ids, prepare_treetops, to_crs
 
 #: Columns of the tables; NOT NULL as a store would enforce it.
 COLUMNS: dict[str, str] = {
@@ -111,9 +112,25 @@ def delete_with(tables: dict[str, DataFrame], child: str, column: str, lost: Dat
 
 
 def with_ids(new: DataFrame, existing: DataFrame | None = None, column: str = "id") -> DataFrame:
-    """New rows with ids after the largest there is. Ids rise but may leave gaps: numbering without gaps needs one order."""
+    """New rows with ids after the largest there is. Ids rise but may leave gaps: numbering without gaps needs one order.
+
+    The rows are kept with their ids, so that children made of them refer to the same ones whatever is run again.
+    """
     start = 0 if existing is None else existing.agg(F.coalesce(F.max(column), F.lit(0))).first()[0]
-    return new.withColumn(column, F.monotonically_increasing_id() + start + 1)
+    return kept(new.withColumn(column, F.monotonically_increasing_id() + start + 1))
+
+
+def append(rows: DataFrame, path: str, batch_rows: int | None = None) -> int:
+    """Append rows to a Parquet table; how many. ``batch_rows``: at most so many in a file."""
+    before = rows.sparkSession.read.parquet(path).count() if _exists(rows.sparkSession, path) else 0
+    writer = rows.write.mode("append")
+    (writer.option("maxRecordsPerFile", batch_rows) if batch_rows else writer).parquet(path)
+    return rows.sparkSession.read.parquet(path).count() - before
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
 def point_wkb(points: DataFrame, x: str = "x", y: str = "y", z: str | None = None, srid: int | None = None) -> DataFrame:
@@ -131,11 +148,16 @@ def point_wkb(points: DataFrame, x: str = "x", y: str = "y", z: str | None = Non
     return points.mapInArrow(run, out)
 
 
-def load_trees(layer: DataFrame, mapping: dict[str, str], srid: int = 32619) -> DataFrame:
-    """Rows for ``trees``: standard columns, three dimensions, SRID. Write them with ``append``."""
+def load_trees(layer: DataFrame, mapping: dict[str, str], srid: int = 32619, source_srid: int | None = None, ewkb: bool = False) -> DataFrame:
+    """Rows for ``trees``: standard columns, three dimensions, SRID; with ``ewkb`` also ``geom``. Write them with ``append``.
+
+    Coordinates are reprojected from ``source_srid``; without one they are taken to be in ``srid`` already.
+    """
     out = prepare_treetops(layer, mapping)
+    out = to_crs(out, source_srid, srid) if source_srid not in (None, srid) else out
     z = F.col("z") if "z" in out.columns else F.lit(0.0)
-    return out.select("tree_id", "species", "status", "x", "y", z.alias("z"), F.lit(srid).alias("srid"))
+    rows = out.select("tree_id", "species", "status", "x", "y", z.alias("z"), F.lit(srid).alias("srid"))
+    return point_wkb(rows, z="z", srid=srid) if ewkb else rows
 
 
 def reconcile_manual(crowns: DataFrame, trees: DataFrame, stamp: str) -> tuple[DataFrame, DataFrame]:
@@ -152,12 +174,35 @@ def reconcile_manual(crowns: DataFrame, trees: DataFrame, stamp: str) -> tuple[D
     return out.drop("synthetic"), new
 
 
-def load_crowns(layer: DataFrame, category: str, method: str | None = None, lidar_id: int | None = None, image_id: int | None = None, srid: int = 32619) -> DataFrame:
-    """Rows for ``crowns``: ``tree_id`` and the category's first three letters in upper case make the id; polygons only."""
+def load_crowns(layer: DataFrame, category: str, method: str | None = None, lidar_id: int | None = None, image_id: int | None = None, srid: int = 32619, trees: DataFrame | None = None, stamp: str = "") -> DataFrame:
+    """Rows for ``crowns``: ``tree_id`` and the category's first three letters in upper case make the id; polygons only.
+
+    Polygons in ``geom`` come out flat and as extended WKB. With ``trees``, Manual crowns that lack a tree get one first
+    (``reconcile_manual``, which also gives the trees to add). Without a ``tree_id`` column, KeyError.
+    """
+    if category == "Manual" and trees is not None:
+        layer, _ = reconcile_manual(layer if "tree_id" in layer.columns else layer.withColumn("tree_id", F.lit(None).cast("string")), trees, stamp)
+    if "tree_id" not in layer.columns:
+        raise KeyError("tree_id")
     only = layer.where("geom_type = 'Polygon'") if "geom_type" in layer.columns else layer
     key = F.concat_ws("_", F.col("tree_id").cast("string"), F.upper(F.substring(F.lit(category), 1, 3)))
     box = [c for c in ("minx", "miny", "maxx", "maxy", "geom") if c in only.columns]
-    return only.select(key.alias("crown_id"), F.col("tree_id").cast("string").alias("tree_id"), F.lit(category).alias("crown_category"), F.lit(method).cast("string").alias("generation_method"), F.lit(lidar_id).cast("bigint").alias("source_lidar_id"), F.lit(image_id).cast("bigint").alias("source_image_id"), F.lit(srid).alias("srid"), *box)
+    rows = only.select(key.alias("crown_id"), F.col("tree_id").cast("string").alias("tree_id"), F.lit(category).alias("crown_category"), F.lit(method).cast("string").alias("generation_method"), F.lit(lidar_id).cast("bigint").alias("source_lidar_id"), F.lit(image_id).cast("bigint").alias("source_image_id"), F.lit(srid).alias("srid"), *box)
+    if "geom" not in rows.columns:
+        return rows
+
+    @F.pandas_udf("binary")
+    def flat(g: pd.Series) -> pd.Series:
+        return g.map(lambda b: None if b is None else geometry.to_wkb(geometry.set_dimensions(geometry.from_wkb(b), 2), srid))
+
+    return rows.withColumn("geom", flat("geom"))
+
+
+def register_lidar(clouds: DataFrame, existing: DataFrame | None = None) -> DataFrame:
+    """Rows for ``lidar_acquisitions`` with ids; missing columns are null."""
+    wanted = schema("lidar_acquisitions").fields[1:]
+    have = [F.col(f.name).cast(f.dataType).alias(f.name) if f.name in clouds.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in wanted]
+    return with_ids(clouds.select(*have), existing)
 
 
 def register_image(images: DataFrame, bands: str = "bands") -> tuple[DataFrame, DataFrame]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
 
 import numpy as np
@@ -13,8 +14,17 @@ from silvaspark.operators.raster import Affine
 
 
 def kept(df: DataFrame) -> DataFrame:
-    """Computed once: in the checkpoint folder if there is one, else by the executors."""
-    return df.checkpoint() if df.sparkSession.conf.get("spark.checkpoint.dir", None) else df.localCheckpoint()
+    """Computed once and written to the checkpoint folder, so that lost executors cost nothing.
+
+    Where the session names no folder and all runs on one machine (tests), a temporary one is made.
+    """
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or "file://" + tempfile.mkdtemp(prefix="silvaspark-"))
+    return df.checkpoint()
 
 
 def tile_of(pixels: DataFrame, size: int) -> DataFrame:
@@ -88,6 +98,32 @@ def tile_kernel(pixels: DataFrame, kernel: Callable[..., pd.DataFrame], schema:
     return tiles.groupBy("tile_r", "tile_c").applyInPandas(run, schema)
 
 
+def grid_kernel(cells: DataFrame, kernel: Callable[..., pd.DataFrame], schema: str, width: int, height: int, size: int = 1024, overlap: int = 64) -> DataFrame:
+    """Run ``kernel(arrays, r0, c0, core)`` on every tile of a raster that has a cell in it or in its halo.
+
+    Only the cells that there are move; each task lays its tile out whole, cut to the raster of ``height`` by ``width``.
+    ``arrays`` has an array per column of ``cells`` beside ``row`` and ``col`` (NaN where there is no cell or a null),
+    ``core`` is True in the tile itself, also where it has no cell. Cells outside the raster are left out.
+    """
+    names = [c for c in cells.columns if c not in ("row", "col")]
+    there = cells.where(F.col("row").between(0, height - 1) & F.col("col").between(0, width - 1))
+    tiles = core_halo(there.select("row", "col", *(F.col(n).cast("double").alias(n) for n in names)), size, overlap)
+    tiles = tiles.where((F.col("tile_r") * size < height) & (F.col("tile_c") * size < width))
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        tr, tc = int(part.tile_r.iloc[0]) * size, int(part.tile_c.iloc[0]) * size
+        r0, c0 = max(0, tr - overlap), max(0, tc - overlap)
+        shape = min(height, tr + size + overlap) - r0, min(width, tc + size + overlap) - c0
+        arrays, core = {n: np.full(shape, np.nan) for n in names}, np.zeros(shape, bool)
+        core[tr - r0 : tr - r0 + size, tc - c0 : tc - c0 + size] = True
+        r, c = part.row.to_numpy() - r0, part.col.to_numpy() - c0
+        for n in names:
+            arrays[n][r, c] = part[n].to_numpy()
+        return kernel(arrays, r0, c0, core)
+
+    return tiles.drop("is_core").groupBy("tile_r", "tile_c").applyInPandas(run, schema)
+
+
 def dispatch(pixels: DataFrame, func: Callable[[np.ndarray], object], how: str = "stitch", reducer: Callable | None = None, size: int = 1024, overlap: int = 0):
     """Apply a user function to every tile's array.
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, BooleanType
 
-from silvaspark.functions import geometry
+from silvaspark.functions import crs, geometry
 from silvaspark.operators.tiles import kept
 
 GEOMETRY = {"geom", "srid", "minx", "miny", "maxx", "maxy", "x", "y", "z"}
@@ -87,42 +87,51 @@ def validate(layer: DataFrame, fix_invalid: bool = True, drop_invalid: bool = Tr
     return out.where(ok("geom")) if drop_invalid else out
 
 
-RADIUS = 6378137.0
+def to_crs(layer: DataFrame, source: int, target: int, x: str = "x", y: str = "y") -> DataFrame:
+    """Point columns in another coordinate system (EPSG numbers: 4326, 3857, UTM zones); stays in generated code."""
+    east, north = crs.transform(F.col(x), F.col(y), source, target)
+    return layer.withColumns({x: east, y: north})
+
+
+def to_crs_wkb(layer: DataFrame, source: int, target: int) -> DataFrame:
+    """``geom`` (WKB) in another coordinate system, vertex by vertex; null stays, a Z stays as it is."""
+
+    @F.pandas_udf(BinaryType())
+    def change(g: pd.Series) -> pd.Series:
+        move = lambda p: (*crs.transform(p[0], p[1], source, target, crs.NUMBERS), *p[2:])
+        return g.map(lambda b: None if b is None else geometry.to_wkb(geometry.mapped(geometry.from_wkb(b), move)))
+
+    return layer.withColumn("geom", change("geom"))
 
 
 def to_web_mercator(layer: DataFrame, lon: str = "lon", lat: str = "lat") -> DataFrame:
-    """EPSG:4326 degrees to EPSG:3857 metres ``x, y``; stays in generated code."""
-    return layer.withColumn("x", F.radians(lon) * RADIUS).withColumn("y", F.log(F.tan(F.lit(math.pi / 4) + F.radians(lat) / 2)) * RADIUS)
+    """EPSG:4326 degrees to EPSG:3857 metres ``x, y``."""
+    x, y = crs.transform(F.col(lon), F.col(lat), 4326, 3857)
+    return layer.withColumn("x", x).withColumn("y", y)
 
 
 def from_web_mercator(layer: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
-    return layer.withColumn("lon", F.degrees(F.col(x) / RADIUS)).withColumn("lat", F.degrees(2 * F.atan(F.exp(F.col(y) / RADIUS)) - math.pi / 2))
+    lon, lat = crs.transform(F.col(x), F.col(y), 3857, 4326)
+    return layer.withColumn("lon", lon).withColumn("lat", lat)
 
 
 def to_utm(layer: DataFrame, srid: int, lon: str = "lon", lat: str = "lat") -> DataFrame:
-    """EPSG:4326 to a UTM zone (EPSG:326zz north, 327zz south) by the sixth-order transverse Mercator series."""
-    if srid // 100 not in (326, 327) or not 1 <= srid % 100 <= 60:
-        raise ValueError(f"{srid} is no UTM zone")
-    f, k0, a = 1 / 298.257223563, 0.9996, RADIUS
-    n = f / (2 - f)
-    big = a / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
-    alpha = (n / 2 - 2 * n**2 / 3 + 5 * n**3 / 16, 13 * n**2 / 48 - 3 * n**3 / 5, 61 * n**3 / 240)
-    e = 2 * math.sqrt(n) / (1 + n)
-    phi, lam = F.radians(lat), F.radians(F.col(lon) - ((srid % 100) * 6 - 183))
-    t = F.sinh(F.atanh(F.sin(phi)) - e * F.atanh(e * F.sin(phi)))
-    xi, eta = F.atan2(t, F.cos(lam)), F.atanh(F.sin(lam) / F.sqrt(1 + t * t))
-    east, north = eta, xi
-    for j, c in enumerate(alpha, 1):
-        east = east + c * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
-        north = north + c * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
-    return layer.withColumn("x", 500000.0 + k0 * big * east).withColumn("y", (10_000_000.0 if srid // 100 == 327 else 0.0) + k0 * big * north)
-
-
-def prepare_crowns(layer: DataFrame, id_column: str, species_column: str | None = None) -> DataFrame:
+    """EPSG:4326 to a UTM zone (EPSG:326zz north, 327zz south)."""
+    crs.zone(srid)
+    x, y = crs.transform(F.col(lon), F.col(lat), 4326, srid)
+    return layer.withColumn("x", x).withColumn("y", y)
+
+
+def prepare_crowns(layer: DataFrame, id_column: str, species_column: str | None = None, do_validate: bool = False, fix_invalid: bool = True) -> DataFrame:
     """``crown_id, species`` and the rest. If any id repeats, all are replaced by the row's index in order of id and box.
 
-    Ids become integers where all can be read as such, else they stay.
+    Ids become integers where all can be read as such, else they stay. With ``do_validate`` polygons in ``geom`` are
+    checked first (repaired with ``fix_invalid``, dropped if they cannot be); if none is left, ValueError.
     """
+    if do_validate and "geom" in layer.columns:
+        layer = kept(validate(layer, fix_invalid))
+        if layer.isEmpty():
+            raise ValueError("no valid geometry is left")
     out = layer.withColumnRenamed(id_column, "crown_id")
     out = out.withColumnRenamed(species_column, "species") if species_column and species_column in out.columns else out.withColumn("species", F.lit(None).cast("string"))
     if not out.groupBy("crown_id").count().where("count > 1").isEmpty():
@@ -190,15 +199,30 @@ def assign_tree_ids(crowns: DataFrame, trees: DataFrame, cell: float = 8.0) -> D
     return per_crown.groupBy("tree_id").agg(F.min("crown_id").alias("crown_id")).select("crown_id", "tree_id")
 
 
-def zonal_polygons(pixels: DataFrame, polygons: DataFrame, cell: int = 16) -> DataFrame:
-    """Pixels whose centre is in a polygon (``crown_id, geom`` WKB, unit pixels): cell join on boxes, then an exact test.
+def ring_wkb(layer: DataFrame, ring: str = "ring") -> DataFrame:
+    """``geom``: polygons (WKB) of closed rings ``ARRAY<STRUCT<x, y>>``; null for a null ring."""
+
+    @F.pandas_udf(BinaryType())
+    def pack(r: pd.Series) -> pd.Series:
+        return r.map(lambda ps: None if ps is None else geometry.to_wkb((3, [[(p["x"], p["y"]) for p in ps]])))
+
+    return layer.withColumn("geom", pack(ring))
 
-    Polygons are cut to pixels in batches by a map over Arrow; only the box columns take part in the join's first phase.
+
+def zonal_polygons(pixels: DataFrame, polygons: DataFrame, width: int | None = None, height: int | None = None) -> DataFrame:
+    """``pixels`` joined to the polygons (``crown_id, geom`` WKB, unit pixels) that hold them.
+
+    A polygon has the pixels whose centres it holds. In a raster of ``height`` by ``width`` its window is its box rounded
+    to pixels and cut to the raster; if that is at most two pixels wide or high, or holds no centre, the polygon has every
+    pixel that it touches. Polygons are cut to pixels in batches of Arrow; the join is on row and column. Null geometries
+    hold nothing; repeated rows of a polygon repeat its pixels.
     """
+
     def cover(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for crown_id, geom in zip(batch.crown_id, batch.geom, strict=True):
-                rows, cols = geometry.pixels(geometry.from_wkb(geom))
+                g = geometry.from_wkb(geom)
+                rows, cols = geometry.pixels(g) if width is None or height is None else geometry.window_pixels(g, width, height)
                 yield pd.DataFrame({"crown_id": crown_id, "row": rows, "col": cols}).astype({"row": "int32", "col": "int32"})
 
     kind = polygons.schema["crown_id"].dataType.simpleString()

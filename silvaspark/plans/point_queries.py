@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from silvaspark.operators import points as pc
-from silvaspark.operators import tiles
+from silvaspark.operators import surface, tiles
 from silvaspark.operators.raster import Affine
 from silvaspark.plans.catalogue import query
 from silvaspark.sources.roles import CROWNS, HEIGHTS, POINTS, crowns, heights, points
@@ -134,8 +134,31 @@ def sink_roundtrip(spark, d):
 
     from silvaspark.sources.io import write_pixels
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/silvaspark"
-    path = f"{base.rstrip('/')}/points-{uuid.uuid4().hex}"
+    tiles.kept(spark.range(0))  # makes the shared folder where the session names none
+    path = f"{spark.sparkContext.getCheckpointDir()}/points-{uuid.uuid4().hex}"
     write_pixels(points(spark, d), path, "return_number")
     back = spark.read.parquet(path)
     return back.groupBy(F.col("return_number").cast("int").alias("return_number")).agg(F.count(F.lit(1)).alias("n"), F.max("z").alias("top"))
+
+
+def _cloud(spark, d):
+    """The cloud five times as long in y: its smallest is only nine units wide, and a footprint's frame takes four cells."""
+    return points(spark, d).withColumn("y", F.col("y") * 5)
+
+
+@query()
+def generate_dtm(spark, d):
+    """Terrain model of the cloud, gaps filled."""
+    return surface.generate_dtm(_cloud(spark, d), SIZE)
+
+
+@query()
+def generate_dsm(spark, d):
+    """Surface model of the cloud within its closed footprint, gaps filled."""
+    return surface.generate_dsm(_cloud(spark, d), SIZE)
+
+
+@query()
+def generate_chm(spark, d):
+    """Canopy height model of the cloud: filled, smoothed, within the footprint."""
+    return surface.generate_chm(_cloud(spark, d), SIZE)

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import functions as F
 
 from silvaspark.functions import scalar
-from silvaspark.operators import focal, raster, tiles, zonal
+from silvaspark.operators import focal, raster, tiles, vector, warp, zonal
 from silvaspark.plans.catalogue import query
 from silvaspark.sources.roles import CROWNS, HEIGHTS, SPECTRAL, crowns, heights, spectral, table
 
@@ -336,3 +336,48 @@ def crown_polygons(spark, d):
     """Outer rings of the crowns that region growing gives."""
     labels = focal.crowns(_canopy(spark, d), _tops(spark, d), "region_growing", size=256, overlap=32)
     return focal.label_polygons(labels).select("tree_id", F.size("ring").alias("vertices"))
+
+
+@query(f"""with {HEIGHTS}, n as (select max(r) + 1 as hh from h),
+    k as (select hh, radians(0.001 * 100) * 6378137.0 as mx, ln(tan(pi() / 4 + radians(0.001 * hh) / 2)) * 6378137.0 as my, ln(tan(pi() / 4)) * 6378137.0 as y0 from n),
+    s as (select *, sqrt(mx * mx + (my - y0) * (my - y0)) / sqrt(10000 + hh * hh) as ps from k),
+    w as (select *, cast(floor(mx / ps + 0.5) as bigint) as wide, cast(floor((my - y0) / ps + 0.5) as bigint) as high from s),
+    g as (select row, unnest(range(wide)) as col, ps, my, hh from (select *, unnest(range(high)) as row from w)),
+    p as (select cast(row as int) as row, cast(col as int) as col, hh, degrees((col + 0.5) * ps / 6378137.0) / 0.001 as x, (0.001 * hh - degrees(2 * atan(exp((my - (row + 0.5) * ps) / 6378137.0)) - pi() / 2)) / 0.001 as y from g),
+    m as (select row, col, v, (1 - abs(r + 0.5 - y)) * (1 - abs(c + 0.5 - x)) as q from p join h on r in (cast(floor(y - 0.5) as int), cast(floor(y - 0.5) as int) + 1) and c in (cast(floor(x - 0.5) as int), cast(floor(x - 0.5) as int) + 1)
+        where x >= 0 and x < 100 and y >= 0 and y < hh and abs(r + 0.5 - y) < 1 and abs(c + 0.5 - x) < 1)
+    select p.row, p.col, round(sum(v * q) / sum(q)) as v from p left join m on m.row = p.row and m.col = p.col group by 1, 2""")
+def reproject_bilinear(spark, d):
+    """The height raster in degrees (0.001 a pixel) in web mercator, on the grid and resolution that follow from it."""
+    h = heights(spark, d)
+    n = h.agg(F.max("row")).first()[0] + 1
+    out, *_ = warp.reproject(h, raster.Affine(0.001, 0.0, -0.001, 0.001 * n), 100, n, 4326, 3857)
+    return out.withColumn("v", F.round("v"))
+
+
+@query(f"""with {HEIGHTS}, {SPECTRAL}, n as (select max(r) + 1 as hh from h), p as (select e.r as row, e.c as col, (e.c + 0.5) * 2 + 1 as x, (e.r + 0.5) * 0.5 + 0.25 as y, hh from e, n),
+    m as (select row, col, v, (1 - abs(r + 0.5 - y)) * (1 - abs(c + 0.5 - x)) as q from p join h on r in (cast(floor(y - 0.5) as int), cast(floor(y - 0.5) as int) + 1) and c in (cast(floor(x - 0.5) as int), cast(floor(x - 0.5) as int) + 1)
+        where x < 100 and y < hh and abs(r + 0.5 - y) < 1 and abs(c + 0.5 - x) < 1)
+    select p.row, p.col, round(sum(v * q) / sum(q), 6) as v from p left join m on m.row = p.row and m.col = p.col group by 1, 2""")
+def align_bilinear(spark, d):
+    h = heights(spark, d)
+    n = h.agg(F.max("row")).first()[0] + 1
+    out = warp.align(h, raster.Affine(1.0, 0.0, 1.0, 0.0), 100, n, spectral(spark, d), raster.Affine(2.0, 1.0, 0.5, 0.25), resampling="bilinear")
+    return out.withColumn("v", F.round("v", 6))
+
+
+@query(f"""with {CROWNS}, {HEIGHTS}, n as (select max(r) + 1 as hh from h), d as (select id, (minx + maxx) / 2 as cx, (miny + maxy) / 2 as cy, (maxx - minx) / 2 + 0.03 as s from k),
+    w as (select *, greatest(0, floor(cx - s)) as c0, least(100, floor(cx - s) + ceil((cx + s) - (cx - s))) as c1, greatest(0, floor(cy - s)) as r0, least(hh, floor(cy - s) + ceil((cy + s) - (cy - s))) as r1 from d, n),
+    p as (select id, v, abs(c + 0.5 - cx) + abs(r + 0.5 - cy) < s as held, greatest(0, c - cx, cx - (c + 1)) + greatest(0, r - cy, cy - (r + 1)) < s as met, c1 - c0 <= 2 or r1 - r0 <= 2 as small
+        from w join h on r >= r0 and r < r1 and c >= c0 and c < c1),
+    e as (select *, bool_or(held) over (partition by id) as any_held from p)
+    select id as crown_id, count(*) as n, min(v) as low, max(v) as high, median(v) as med from e where held or (met and (small or not any_held)) group by id""")
+def zonal_polygons(spark, d):
+    """Heights within diamonds round the crowns: pixels by their centres, in small windows all that are touched."""
+    h, k = heights(spark, d), crowns(spark, d)
+    cx, cy, s = (F.col("minx") + F.col("maxx")) / 2, (F.col("miny") + F.col("maxy")) / 2, (F.col("maxx") - F.col("minx")) / 2 + 0.03
+    corner = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+    ring = F.array(corner(cx - s, cy), corner(cx, cy - s), corner(cx + s, cy), corner(cx, cy + s), corner(cx - s, cy))
+    shapes = vector.ring_wkb(k.select("crown_id", ring.alias("ring"))).select("crown_id", "geom")
+    held = vector.zonal_polygons(h, shapes, 100, h.agg(F.max("row")).first()[0] + 1)
+    return held.groupBy("crown_id").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("low"), F.max("v").alias("high"), F.median("v").alias("med"))

@@ -40,9 +40,15 @@ def write_pixels(pixels: DataFrame, path: str, partition_by: str | None = "raste
 def write_vector(layer: DataFrame, path: str, mode: str = "error") -> None:
     if path.lower().endswith((".geojson", ".json")):
         attributes = [c for c in layer.columns if c not in ("geom", "srid")]
-        text = F.udf(lambda b: _geojson(bytes(b)) if b is not None else "null")
-        shown = layer.select(F.to_json(F.struct(*attributes)).alias("p"), text("geom").alias("g"))
-        shown.select(F.concat(F.lit('{"type":"Feature","geometry":'), "g", F.lit(',"properties":'), "p", F.lit("}")).alias("value")).write.mode(mode).text(path)
+
+        def text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                shapes = [_geojson(g) if g is not None else "null" for g in batch.column(0).to_pylist()]
+                lines = [f'{{"type":"Feature","geometry":{g},"properties":{p}}}' for g, p in zip(shapes, batch.column(1).to_pylist(), strict=True)]
+                yield pa.record_batch([pa.array(lines, pa.string())], names=["value"])
+
+        shown = layer.select("geom", F.to_json(F.struct(*attributes)).alias("p"))
+        shown.mapInArrow(text, "value string").write.mode(mode).text(path)
     else:
         layer.write.mode(mode).parquet(path)
 
