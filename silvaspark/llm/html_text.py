@@ -11,21 +11,23 @@ from __future__ import annotations
 import functools
 import html as entities
 import re
-from collections.abc import Iterator
-from dataclasses import dataclass, field
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-ATTRIBUTE = re.compile(r"([^\s=\"'/<>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+# A tag's name and its end if it has no attributes; one attribute; both never go back, so each page is read once.
+TAG = re.compile(r"</?+([a-zA-Z][^\s/>]*+)\s*+(>)?")
+ATTRIBUTE = re.compile(r"[\s/]*+(?:(>)|([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>][^\s>]*+)|(?=>)|([\"']|\Z)))?+)")
 
 # HTML element names by role.
 RAW = {"script", "style", "title", "textarea", "iframe", "noframes", "xmp"}
-UNSEEN = {"script", "style", "title", "textarea", "iframe", "noframes", "head", "template", "svg", "math", "object", "select", "option", "button", "canvas", "audio", "video", "noscript", "map"}
+RAW_END = {tag: re.compile(rf"</{tag}[\s/>]", re.I) for tag in RAW}
+UNSEEN = {"script", "style", "title", "textarea", "iframe", "noframes", "head", "template", "svg", "select", "option", "button", "canvas", "audio", "video", "noscript"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var"}
+INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "map", "math", "mi", "mn", "mo", "mrow", "ms", "msub", "msup", "msubsup", "mfrac", "msqrt", "mtext", "semantics", "annotation", "ruby", "rb", "rt", "rp"}
 ANCESTORS = ["nav", "header", "footer", "aside", "article", "main", "section", "form", "fieldset", "ul", "ol", "dl", "table", "blockquote", "figure", "menu", "dialog", "address", "div", "body", "pre", "details"]
 OWN = ["p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "td", "th", "dt", "dd", "figcaption", "legend", "caption", "div", "a", "summary"]
 # Words in class, id and role attributes, by what they tell of a block.
@@ -62,13 +64,28 @@ class _Open:
     bits: int
     unseen: bool
     label: int
-    own: str = field(default="")
 
 
-def _attribute_bits(raw: str) -> tuple[int, bool, int]:
+def _attributes(page: str, at: int) -> tuple[list[tuple[str, str]], bool, int]:
+    """Attributes of a tag from behind its name, whether it ends with a slash, and where it ends (-1: the page ends first).
+
+    As the standard has it, a quote opens a value only right after an equals sign.
+    """
+    found: list[tuple[str, str]] = []
+    while (m := ATTRIBUTE.match(page, at)) is not None:
+        if m[1]:
+            return found, page[m.start() : m.end() - 1].endswith("/"), m.end()
+        if m[6] is not None:
+            break  # a quote that nothing closes
+        value = m[3] or m[4] or m[5] or ""
+        found.append((m[2].lower(), entities.unescape(value).lower() if "&" in value else value.lower()))
+        at = m.end()
+    return found, False, -1
+
+
+def _attribute_bits(attributes: list[tuple[str, str]], labelled: bool) -> tuple[int, bool, int]:
     bits, hidden, label = 0, False, -1
-    for m in ATTRIBUTE.finditer(raw):
-        name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
+    for name, value in attributes:
         if name in ("class", "id", "role"):
             for w in value.split():
                 bits |= WORD_BIT.get(w, 0)
@@ -76,90 +93,129 @@ def _attribute_bits(raw: str) -> tuple[int, bool, int]:
                     bits |= WORD_BIT.get(part, 0)
         elif name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value)):
             hidden = True
-        elif name == "data-label":
+        elif labelled and name == "data-label":
             label = int(value)
     return bits, hidden, label
 
 
 ENDS_ITSELF = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 HOLDS = {"ul", "ol", "dl", "table", "menu", "select", "body", "html"}
+IN_HEAD = {"head", "html", "base", "basefont", "bgsound", "link", "meta", "script", "style", "title", "noscript", "noframes", "template"}
+
+
+class _Stack:
+    """Open elements, with the places of each tag's, so that no look goes through all of them."""
+
+    def __init__(self):
+        self.open = [_Open("html", 0, False, -1)]
+        self.places: dict[str, list[int]] = {"html": [0]}
 
+    def push(self, element: _Open) -> None:
+        self.places.setdefault(element.tag, []).append(len(self.open))
+        self.open.append(element)
 
-def blocks(page: str) -> list[Block]:
-    """Leaf blocks of a page in order. Scripts, styles, titles, comments and form controls are no blocks."""
+    def last(self, tags: Iterable[str]) -> int:
+        """Place of the innermost open element of these tags, 0 without."""
+        return max((places[-1] for tag in tags if (places := self.places.get(tag))), default=0)
+
+    def cut(self, place: int) -> None:
+        """Close all elements from a place on; the outermost stays."""
+        while len(self.open) > max(1, place):
+            self.places[self.open.pop().tag].pop()
+
+
+def blocks(page: str, labelled: bool = False) -> list[Block]:
+    """Leaf blocks of a page in order. Scripts, styles, titles, comments and form controls are no blocks.
+
+    The page is read once, in time that grows with its length, whatever its markup. A tag that the page's end cuts off
+    is dropped, as the standard has it. ``labelled``: ``data-label`` attributes are the labels of training pages.
+    """
     out: list[Block] = []
-    stack = [_Open("html", 0, False, -1)]
+    stack = _Stack()
     parts: list[str] = []
     linked = total = 0
     in_link = False
-    at = 0
 
     def close() -> None:
-        nonlocal linked, total, in_link
+        nonlocal linked, total
         text = " ".join("".join(parts).split()) if parts else ""
         if text:
-            top = stack[-1]
+            top = stack.open[-1]
             out.append(Block(text, top.bits | BIT.get(f"is {top.tag}", 0) | text_bits(text, linked, total), top.label))
         parts.clear()
         linked = total = 0
 
     def add(raw: str) -> None:
         nonlocal linked, total
-        if raw and not stack[-1].unseen:
-            text = entities.unescape(raw)
-            parts.append(text)
-            n = len(text.strip())
-            total += n
-            linked += n * in_link
-
-    for m in TOKEN.finditer(page):
-        if m.start() < at:
-            continue  # inside an element whose text is not markup
-        add(page[at : m.start()])
-        at = m.end()
-        if m[2] is None:
-            if page.startswith("<![CDATA[", m.start()):
-                add(page[m.start() + 9 : m.end()].removesuffix("]]>"))
+        if not raw:
+            return
+        if stack.open[-1].unseen:
+            if stack.open[-1].tag != "head" or raw.isspace():
+                return
+            stack.cut(stack.last(["head"]))  # text ends a head that was left open
+        text = entities.unescape(raw)
+        parts.append(text)
+        n = len(text.strip())
+        total += n
+        linked += n * in_link
+
+    at, n = 0, len(page)  # what stands before at is done
+    seek = 0
+    while (lt := page.find("<", seek)) >= 0:
+        m = TAG.match(page, lt)
+        if m is None:
+            if not page.startswith(("!", "?", "/"), lt + 1):
+                seek = lt + 1  # a plain character
+                continue
+            add(page[at:lt])
+            mark = "-->" if page.startswith("<!--", lt) else "]]>" if page.startswith("<![CDATA[", lt) else ">"
+            end = page.find(mark, lt + 2)
+            if mark == "]]>":
+                add(page[lt + 9 : end if end >= 0 else n])
+            seek = at = end + len(mark) if end >= 0 else n
             continue
-        closing, tag = bool(m[1]), m[2].lower()
+        add(page[at:lt])
+        closing, tag = page[lt + 1] == "/", m[1].lower()
+        attributes, empty, at = ([], False, m.end()) if m[2] else _attributes(page, m.end(1))
+        if at < 0:
+            at = n
+            break
+        seek = at
         if tag in INLINE:
             if tag == "a":
                 in_link = not closing
             continue
-        if tag == "br" or tag == "wbr" or tag in ("img", "input"):
-            parts.append(" " if tag == "br" else "")
+        if tag in ("br", "wbr", "img", "input"):
+            if tag == "br":
+                parts.append(" ")
             continue
         close()
         in_link = False
         if closing:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    del stack[i:]
-                    break
+            if place := stack.last([tag]):
+                stack.cut(place)
             continue
-        if stack[-1].tag == "p" and tag not in RAW:
-            stack.pop()
-        if tag in ENDS_ITSELF:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag in HOLDS:
-                    break
-                if stack[i].tag in ENDS_ITSELF[tag]:
-                    del stack[i:]
-                    break
-        if tag == "body" and any(o.tag == "head" for o in stack):
-            del stack[next(i for i, o in enumerate(stack) if o.tag == "head") :]
+        if stack.open[-1].tag == "p" and tag not in RAW:
+            stack.cut(len(stack.open) - 1)
+        if tag in ENDS_ITSELF and (place := stack.last(ENDS_ITSELF[tag])) > stack.last(HOLDS):
+            stack.cut(place)
+        if tag not in IN_HEAD and (place := stack.last(["head"])):
+            stack.cut(place)
         if tag in VOID:
             continue
         if tag in RAW:
-            end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-            at = end.end() if end else len(page)
+            end = RAW_END[tag].search(page, at)
+            seek = at = end.end() if end else n
+            if end and end[0][-1] != ">":
+                gt = page.find(">", at)
+                seek = at = gt + 1 if gt >= 0 else n
             continue
-        if m[3].rstrip().endswith("/"):
+        if empty:
             continue
-        top = stack[-1]
-        bits, hidden, label = _attribute_bits(m[3]) if m[3].strip() else (0, False, -1)
-        stack.append(_Open(tag, top.bits | bits | BIT.get(f"in {tag}", 0) | (BIT["hidden"] if hidden else 0), top.unseen or tag in UNSEEN, label if label >= 0 else top.label))
-    add(page[at:] if at < len(page) else "")
+        top = stack.open[-1]
+        bits, hidden, label = _attribute_bits(attributes, labelled) if attributes else (0, False, -1)
+        stack.push(_Open(tag, top.bits | bits | BIT.get(f"in {tag}", 0) | (BIT["hidden"] if hidden else 0), top.unseen or tag in UNSEEN, label if label >= 0 else top.label))
+    add(page[at:])
     close()
     if out:
         out[0].bits |= BIT["first"]
@@ -299,7 +355,9 @@ def training_pages(n: int = 400, seed: int = 11) -> list[str]:
         inner = "".join(f'<{each} class="{pick("comment", "reply")}">{item()}</{each}>' for _ in range(rng.integers(1, 5)))
         return f'<{(t := pick("section", "div", "ol"))} {pick("class", "id")}="{pick("comments", "comments", "commentlist", "discussion", "replies")}">{pick("", f"<h3>{words(1, 3)}</h3>")}{inner}</{t}>'
 
-    def main() -> str:
+    def main(bare: bool = False) -> str:
+        if bare:
+            return f"<x-text>{pick('', f'<h1>{prose(2, 12)}</h1>')}{''.join(pick(f'<p>{prose(4, 60)}</p>', prose(6, 40), f'<div>{prose(6, 40)}</div>') for _ in range(rng.integers(1, 4)))}</x-text>"
         out = [f"<h1>{prose(2, 12)}</h1>"] if maybe(0.85) else []
         for _ in range(rng.integers(1, 10)):
             kind = rng.random()
@@ -323,7 +381,7 @@ def training_pages(n: int = 400, seed: int = 11) -> list[str]:
             if maybe(0.04):
                 out.append(_labelled(rubbish(pick("ad", "share")), 0))
         inner = "".join(out)
-        return pick(f"<article>{inner}</article>", f"<article>{inner}</article>", f"<main>{inner}</main>", f"<main><article>{inner}</article></main>", f'<div class="{pick("content", "post", "entry-content", "story", "article-body")}">{inner}</div>', f'<div id="content">{inner}</div>', f"<div>{inner}</div>")
+        return pick(f"<article>{inner}</article>", f"<article>{inner}</article>", f"<main>{inner}</main>", f"<main><article>{inner}</article></main>", f'<div class="{pick("content", "post", "entry-content", "story", "article-body")}">{inner}</div>', f'<div id="content">{inner}</div>', f"<div>{inner}</div>", f"<x-text>{inner}</x-text>")
 
     pages = []
     for _ in range(n):
@@ -333,8 +391,11 @@ def training_pages(n: int = 400, seed: int = 11) -> list[str]:
         rng.shuffle(before)
         rng.shuffle(after)
         body = "".join(before) + _labelled(main(), 1) + "".join(after) + "".join(chance("foot", 0.85))
+        if maybe(0.08):  # nothing but a text
+            body = _labelled(main(bare=True), 1)
         body = pick(body, f"<div>{body}</div>", f'<div class="page"><div class="wrap">{body}</div></div>')
-        pages.append(f"<!DOCTYPE html><html><head><title>{words(2, 6)}</title><script>var t='</p>'</script></head><body>{body}</body></html>")
+        whole = f"<!DOCTYPE html><html><head><title>{words(2, 6)}</title><script>var t='</p>'</script></head><body>{body}</body></html>"
+        pages.append(whole if maybe(0.9) else body)
     return pages
 
 
@@ -346,7 +407,7 @@ def _labelled(fragment: str, label: int) -> str:
 @functools.lru_cache(maxsize=1)
 def trained() -> Field:
     """The field fitted to the labelled pages; a second or two, once per process."""
-    pages = [[b for b in blocks(p) if b.label >= 0] for p in training_pages()]
+    pages = [[b for b in blocks(p, labelled=True) if b.label >= 0] for p in training_pages()]
     return fit([p for p in pages if p])
 
 
