@@ -6,6 +6,9 @@ bounds, then by those of their blocks. Before that, passages are left out in whi
 its common terms count in full, its rare terms as far as the passage has them. Retrieved items are verified on the words: shingles of the question, words of
 the answer; of items given as one text, also shingles of the whole item.
 
+Passages are as long as the items need that are sought in them: items are indexed by classes of length, and those of a
+class are sought in windows of twice that length, each half over the one before.
+
 The index is broadcast in shards of at most ``SHARD_WORDS`` words of items (checked by a count; most benchmarks are
 one shard), all with the term statistics of the whole benchmark; documents are read once per shard and never shuffled.
 """
@@ -34,8 +37,8 @@ LEAST = 0.5  # share of an item's own score that retrieves it
 COMMON = 0.25  # share of an item's own score that its common terms may have together
 SHINGLE = 5
 QUESTION, ANSWER = 0.6, 0.5  # shares of the question's shingles and the answer's words that must be found
-WINDOW = 128  # words of a passage, or twice the longest item
-SHARD_WORDS = 4_000_000
+WINDOW = 128  # words of the shortest passages
+SHARD_WORDS = 500_000  # about 100 MB of index in a worker
 
 
 def words(text: str) -> np.ndarray:
@@ -62,23 +65,27 @@ def question_answer(text: str) -> tuple[str, str]:
 
 @dataclass
 class Statistics:
-    """What the weights of terms rest on: number of items, their words, the longest, and in how many items each term is."""
+    """What the weights of terms rest on: number of items, their words, and in how many items each term is."""
 
     n: int
     n_words: int
-    longest: int
     terms: np.ndarray
     df: np.ndarray
 
     @staticmethod
     def of(items: list[np.ndarray]) -> Statistics:
         terms, df = np.unique(np.concatenate([np.zeros(0, U), *map(np.unique, items)]), return_counts=True)
-        return Statistics(len(items), sum(map(len, items)), max(map(len, items), default=0), terms, df)
+        return Statistics(len(items), sum(map(len, items)), terms, df)
 
     def __add__(self, other: Statistics) -> Statistics:
         terms, place = np.unique(np.concatenate([self.terms, other.terms]), return_inverse=True)
         df = np.bincount(place, np.concatenate([self.df, other.df]), len(terms)).astype(np.int64)
-        return Statistics(self.n + other.n, self.n_words + other.n_words, max(self.longest, other.longest), terms, df)
+        return Statistics(self.n + other.n, self.n_words + other.n_words, terms, df)
+
+
+def span(n_words: int) -> int:
+    """Class of an item's length: a power of two that holds it; its passages are twice as long."""
+    return max(WINDOW // 2, 1 << (max(1, n_words) - 1).bit_length())
 
 
 class Index:
@@ -93,7 +100,7 @@ class Index:
         every = [np.concatenate([q, words(a)]) for q, (_, _, a) in zip(self.question, items, strict=True)]
         self.every = every if whole else []
         of = Statistics.of(every) if of is None else of
-        self.longest, mean = of.longest, max(1.0, of.n_words / max(1, of.n))
+        self.span, mean = max(map(span, map(len, every)), default=span(0)), max(1.0, of.n_words / max(1, of.n))
         counts = [dict(zip(*(x.tolist() for x in np.unique(w, return_counts=True)), strict=True)) for w in every]
         own_terms = np.unique(np.concatenate(every)) if every else np.zeros(0, U)
         df = dict(zip(own_terms.tolist(), of.df[np.searchsorted(of.terms, own_terms)].tolist(), strict=True))
@@ -227,17 +234,15 @@ class Index:
         n = max(1, min(SHINGLE, len(own)))
         return bool(np.isin(np.unique(shingles(own, n)), shingles(passage, n)).mean() >= QUESTION)
 
-    def search(self, text: str, least: float = LEAST) -> list[tuple[int, float, float, float, int]]:
-        """Verified items of a whole text: ``(item id, score, question share, answer share, first word)``, best passage each.
+    def search(self, w: np.ndarray, least: float = LEAST) -> list[tuple[int, float, float, float, int]]:
+        """Verified items in the words of a whole text: ``(item id, score, question share, answer share, first word)``.
 
-        Passages overlap by the longest item, so each copy of an item lies whole in one of them.
+        Passages overlap by their half, no item is longer, so each copy of an item lies whole in one; the best is given.
         """
-        w = words(text)
         if not len(w) or not len(self.terms):
             return []
         place = self.places(w)
-        size = max(WINDOW, 2 * self.longest)
-        step = size - self.longest
+        size, step = 2 * self.span, self.span
         best: dict[int, tuple] = {}
         for s in (k * step for k in self.possible(place, size, step, least)):
             terms = np.unique(place[s : s + size])
@@ -251,8 +256,11 @@ class Index:
         return sorted((self.ids[i], score, q, a, s) for i, (q, a, score, s) in best.items())
 
 
-def indexes(items: DataFrame) -> Iterator[Index]:
-    """Index shards of ``items (item_id, text)`` or ``(item_id, question, answer)``; rows without an id or words are left out."""
+def indexes(items: DataFrame) -> Iterator[list[Index]]:
+    """Shards of ``items (item_id, text)`` or ``(item_id, question, answer)``, in each an index per class of length.
+
+    Rows without an id or words are left out, repeated rows count once; an empty table has no shard.
+    """
     if "question" in items.columns:
         items = items.select("item_id", F.coalesce("question", F.lit("")).alias("question"), F.coalesce("answer", F.lit("")).alias("answer"))
         size = word_count(F.col("question")) + word_count(F.col("answer"))
@@ -268,13 +276,19 @@ def indexes(items: DataFrame) -> Iterator[Index]:
         split = [(r["item_id"], *(question_answer(r["text"]) if whole else (r["question"], r["answer"]))) for r in rows]
         return [p for p in split if words(p[1]).size]
 
-    of = None  # one shard has its own; more are read twice, so that weights do not depend on their number
-    if shards > 1:
-        of = reduce(Statistics.__add__, (Statistics.of([np.concatenate([words(q), words(a)]) for _, q, a in parts(shard)]) for shard in range(shards)))
+    def each(found: list[tuple[int, str, str]]) -> list[np.ndarray]:
+        return [np.concatenate([words(q), words(a)]) for _, q, a in found]
+
+    # weights do not depend on the number of shards; with more than one, items are read twice
+    held = parts(0) if shards == 1 else None
+    of = reduce(Statistics.__add__, (Statistics.of(each(held or parts(shard))) for shard in range(shards))) if shards else None
     for shard in range(shards):
-        found = parts(shard)
+        found = held or parts(shard)
+        by_length = defaultdict(list)
+        for item, w in zip(found, each(found), strict=True):
+            by_length[span(len(w))].append(item)
         if found:
-            yield Index(found, whole, of)
+            yield [Index(some, whole, of) for _, some in sorted(by_length.items())]
 
 
 def contamination(docs: DataFrame, items: DataFrame, least: float = LEAST) -> DataFrame:
@@ -286,18 +300,24 @@ def contamination(docs: DataFrame, items: DataFrame, least: float = LEAST) -> Da
     """
     schema = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double, first_word long"
     out = None
-    for index in indexes(items):
-        found = _search(docs, index, least, schema)
+    for shard in indexes(items):
+        found = _search(docs, shard, least, schema)
         out = found if out is None else out.unionByName(found)
     return out if out is not None else docs.sparkSession.createDataFrame([], schema)
 
 
-def _search(docs: DataFrame, index: Index, least: float, schema: str) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(index)
+def hits(shard: list[Index], text: str | None, least: float) -> list[tuple]:
+    """What all indexes of a shard find in a whole text."""
+    w = words(text or "")
+    return sorted(hit for index in shard for hit in index.search(w, least))
+
+
+def _search(docs: DataFrame, shard: list[Index], least: float, schema: str) -> DataFrame:
+    shared = docs.sparkSession.sparkContext.broadcast(shard)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(doc_id, *hit) for doc_id, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True) for hit in shared.value.search(t.as_py() or "", least)]
+            rows = [(doc_id, *hit) for doc_id, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True) for hit in hits(shared.value, t.as_py(), least)]
             if rows:
                 kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64())
                 yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["doc_id", "item_id", "score", "question_overlap", "answer_overlap", "first_word"])
@@ -306,17 +326,20 @@ def _search(docs: DataFrame, index: Index, least: float, schema: str) -> DataFra
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, least: float = LEAST) -> DataFrame:
-    """The rows of ``docs`` whose texts hold no test item, all columns as they are; nothing is shuffled."""
-    for index in indexes(items):
-        docs = _clean(docs, index, least)
+    """The rows of ``docs`` whose texts hold no test item, all columns as they are; nothing is shuffled.
+
+    Null and empty texts hold none and stay, as do all rows where the benchmark is empty; repeated rows stay or go alike.
+    """
+    for shard in indexes(items):
+        docs = _clean(docs, shard, least)
     return docs
 
 
-def _clean(docs: DataFrame, index: Index, least: float) -> DataFrame:
-    shared, at = docs.sparkSession.sparkContext.broadcast(index), docs.columns.index("text")
+def _clean(docs: DataFrame, shard: list[Index], least: float) -> DataFrame:
+    shared, at = docs.sparkSession.sparkContext.broadcast(shard), docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array([not shared.value.search(t.as_py() or "", least) for t in batch.column(at)], pa.bool_()))
+            yield batch.filter(pa.array([not hits(shared.value, t.as_py(), least) for t in batch.column(at)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
