@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+from bisect import bisect_right, insort
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -13,6 +15,7 @@ from silvaspark.llm.licence_templates import families, texts
 from silvaspark.llm.parity_join import BASE, U, mix, word_hashes
 
 LEAST = 0.9
+WIDTHS = (1, 1.05, 1.1, 1.2)  # lengths of windows, in those of the template
 
 # Licence notices and short licences as they stand in files, by SPDX identifier; licence_templates.py has more.
 TEMPLATES = [
@@ -111,12 +114,17 @@ def _goes_on(name: str, words: list[str], short: bool) -> bool:
     return False
 
 
-def _distinct(places: np.ndarray, ids: np.ndarray, span: int, n: int) -> np.ndarray:
-    """For each start below ``n``, how many different ``ids`` have a place in the window of ``span`` that begins there."""
+def _previous(places: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """For each place the one before it that has the same id; -1 without."""
     order = np.argsort(ids, kind="stable")
     again = ids[order[1:]] == ids[order[:-1]]
     last = np.full(len(places), -1)
     last[order[1:][again]] = places[order[:-1][again]]
+    return last
+
+
+def _distinct(places: np.ndarray, last: np.ndarray, span: int, n: int) -> np.ndarray:
+    """For each start below ``n``, how many different ids have a place in the window of ``span`` that begins there."""
     first = np.maximum(np.maximum(last, places - span) + 1, 0)
     return np.cumsum(np.bincount(first, minlength=n + 1) - np.bincount(places + 1, minlength=n + 1))[:n]
 
@@ -152,37 +160,70 @@ class Scanner:
         places, at = places[good], at[good]
         if len(places) < self.need.min():
             return []
-        found, words = [], None
+        found, words, every, last_b = [], None, np.arange(len(b)), None
         for k in np.flatnonzero(np.count_nonzero(self.owns[at], axis=0) >= self.need):
             mine, n, span = self.owns[at, k], len(self.sets[k]), self.spans[k]
             p = places[mine]
-            starts = np.unique(p)
-            shared = _distinct(p, at[mine], span, len(b))[starts]
-            enough = shared >= self.need[k]
-            if not enough.any():
+            last, starts = _previous(p, at[mine]), np.unique(p)
+            best, widths = np.zeros(len(starts)), np.zeros(len(starts), np.int64)
+            for width in sorted({math.ceil(span * x) for x in WIDTHS}):  # the template's length, and longer for words put in
+                shared = _distinct(p, last, width, len(b))[starts]
+                if not (enough := shared >= self.need[k]).any():
+                    continue
+                last_b = _previous(every, b) if last_b is None else last_b
+                dice = np.where(enough, 2 * shared / (n + _distinct(every, last_b, width, len(b))[starts]), 0)
+                better = dice > best
+                best[better], widths[better] = dice[better], width
+            if best.max() < self.least:
                 continue
-            starts, shared = starts[enough], shared[enough]
-            dice = 2 * shared / (n + _distinct(np.arange(len(b)), b, span, len(b))[starts])
             words = _words(text) if words is None else words
-            mine_taken = []
-            for i in np.lexsort((starts, -dice)):
-                start = int(starts[i])
-                if dice[i] < self.least:
+            mine_taken: list[tuple[int, int]] = []
+            for i in np.lexsort((starts, -best)):
+                start, width = int(starts[i]), int(widths[i])
+                if best[i] < self.least:
                     break
-                if any(abs(start - s) < span + 1 for s in mine_taken):
+                if not _free(mine_taken, start, start + width + 1):
                     continue
-                mine_taken.append(start)
-                stop = int(p[np.searchsorted(p, start + span) - 1]) + 2  # past the last word that the template has too
+                insort(mine_taken, (start, start + width + 1))
+                stop = int(p[np.searchsorted(p, start + width) - 1]) + 2  # past the last word that the template has too
                 if _telling(words[start : stop + 1], stop - start, span >= WHOLE) == self.tells[k] and not _goes_on(self.names[k], words[stop : stop + 7], span < 100):
-                    found.append((-float(dice[i]), -span, start, self.names[k], n, self.need[k]))
-        found = [f for f in found if not any(f[4] < g[5] and g[2] <= f[2] and f[2] - f[1] <= g[2] - g[1] for g in found)]
-        taken, out = [], []
-        for dice, n, start, name, _, _ in sorted(found):
-            if all(start + 1 - n <= a or start >= z for a, z in taken):
-                taken.append((start, start + 1 - n))
-                out.append((name, -dice, start, 1 - n))
+                    found.append((-float(best[i]), -span, start, self.names[k], n, self.need[k], start + width))
+        found = self._outermost(found)
+        taken: list[tuple[int, int]] = []
+        out = []
+        for dice, _, start, name, _, _, end in sorted(found):
+            if _free(taken, start, end + 1):
+                insort(taken, (start, end + 1))
+                out.append((name, -dice, start, end + 1 - start))
         return sorted(out, key=lambda x: x[2])
 
+    @staticmethod
+    def _outermost(found: list[tuple]) -> list[tuple]:
+        """Without the finds that lie in one of a template too long to match on them alone; those of a template are apart."""
+        by_need: dict[float, list[tuple[int, int]]] = {}
+        for f in sorted(found, key=lambda f: f[2]):
+            by_need.setdefault(f[5], []).append((f[2], f[6]))
+
+        longest = {need: max(b - a for a, b in spans) for need, spans in by_need.items()}
+
+        def inside(f: tuple) -> bool:
+            for need, spans in by_need.items():
+                if f[4] < need:
+                    i = bisect_right(spans, f[2], key=lambda s: s[0]) - 1
+                    while i >= 0 and spans[i][0] >= f[6] - longest[need]:
+                        if f[6] <= spans[i][1]:
+                            return True
+                        i -= 1
+            return False
+
+        return [f for f in found if not inside(f)]
+
+
+def _free(taken: list[tuple[int, int]], start: int, stop: int) -> bool:
+    """Whether no span of ``taken``, sorted and apart, meets this one."""
+    i = bisect_right(taken, (start, stop))
+    return (i == 0 or taken[i - 1][1] <= start) and (i == len(taken) or taken[i][0] >= stop)
+
 
 @lru_cache(4)
 def _scanner(templates: tuple[tuple[str, str], ...], least: float) -> Scanner:
@@ -194,7 +235,7 @@ def scan_licences(docs: DataFrame, templates: list[tuple[str, str]] | None = Non
     """Per row of ``docs``: ``doc_id, licence`` (best match, null if none), ``dice, n_found, found``.
 
     ``found`` lists every licence in the text in order, as structs of ``licence, dice, first_word, n_words``. Whole
-    texts are scanned, in windows as long as each template. Ties go to the longer template, then to the earlier place.
+    texts are scanned, in windows as long as each template and up to a fifth longer. Ties go to the longer template, then to the earlier place.
     A window whose licence names or versions are not the template's (a sibling that has no template) is no find.
     Null, empty and one-word texts have none; repeated rows give repeated rows; other columns are not read. Templates
     (a fixed list) travel with the tasks; nothing is shuffled.
