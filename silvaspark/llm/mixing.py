@@ -6,8 +6,8 @@ blocks of equally many words; its k-th slot takes its k-th block, going round ag
 which a source reaches its target is cut there, and a source that the schedule left short gets its missing ranks after
 the last slot, so each source's words are its rounded target exactly.
 
-Running sums and ranks are taken in two levels (within small buckets, then over bucket totals): no source, however
-large, is gathered in one task.
+Running sums and ranks are taken in three levels (within small buckets, over the totals of some buckets, over theirs):
+no source, however large, is gathered in one task.
 """
 
 from __future__ import annotations
@@ -25,6 +25,7 @@ CIRCLE = 1 << 32
 BINS = 4096
 RUN = 4096  # slots that are ranked together
 GROUP = 512  # documents that are summed together, about
+TOP = 7  # bits of a bucket's number within the buckets that are summed together
 
 
 def targets(sizes: DataFrame, ratio: float = 1.5, weights: tuple[int, ...] = (5, 2, 1), most: float = 2.0) -> DataFrame:
@@ -48,6 +49,16 @@ def targets(sizes: DataFrame, ratio: float = 1.5, weights: tuple[int, ...] = (5,
     return s.select("source", "source_size", "sid", "weight", target.alias("target"), "total")
 
 
+def _before(parts: DataFrame, by: str, value: str, name: str) -> DataFrame:
+    """``sid, by, name``: what the parts ``sid, by, value`` of a source sum to in front of each, by running sums in two levels."""
+    parts = parts.withColumn("top", F.shiftright(by, TOP))
+    up = Window.partitionBy("sid").orderBy("top").rowsBetween(Window.unboundedPreceding, -1)
+    tops = parts.groupBy("sid", "top").agg(F.sum(value).alias("s")).select("sid", "top", F.coalesce(F.sum("s").over(up), F.lit(0)).alias("above"))
+    near = Window.partitionBy("sid", "top").orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
+    inside = parts.select("sid", "top", by, F.coalesce(F.sum(value).over(near), F.lit(0)).alias("inside"))
+    return inside.join(tops, ["sid", "top"]).select("sid", by, (F.col("inside") + F.col("above")).alias(name))
+
+
 def _numbered(docs: DataFrame) -> DataFrame:
     """``doc_id, source, size, order``: what the schedule needs of each document."""
     return docs.select("doc_id", F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("order"))
@@ -60,8 +71,7 @@ def _placed(sized: DataFrame, sources: DataFrame, n_docs: int) -> DataFrame:
     same = sized["source"].eqNullSafe(sources["source"])
     docs = sized.join(sources, same).select("doc_id", "size", "order", "sid", "source_size", "target").withColumn("bucket", bucket)
     sums = docs.groupBy("sid", "bucket").agg(F.sum("size").alias("words"))
-    before = Window.partitionBy("sid").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    base = sums.select("sid", "bucket", F.coalesce(F.sum("words").over(before), F.lit(0)).alias("base"))
+    base = _before(sums, "bucket", "words", "base")
     inside = Window.partitionBy("sid", "bucket").orderBy("order", "doc_id", "size")
     prior = inside.rowsBetween(Window.unboundedPreceding, -1)
     docs = docs.withColumn("nth", F.row_number().over(inside)).withColumn("start", F.coalesce(F.sum("size").over(prior), F.lit(0)))
@@ -78,8 +88,7 @@ def _slots(sources: DataFrame, total: float, block: int) -> DataFrame:
     slots = spark.range(n).select(F.col("id").alias("slot"), F.pmod(F.pmod(F.col("id"), F.lit(CIRCLE // 2)) * F.lit(GOLDEN), F.lit(CIRCLE)).alias("u"))
     slots = slots.withColumn("bin", F.shiftright("u", 20)).join(arcs, "bin").where("u >= a and u < b").select("slot", "sid", F.shiftright("slot", 12).alias("run"))
     counts = slots.groupBy("sid", "run").agg(F.count(F.lit(1)).alias("n"))
-    before = Window.partitionBy("sid").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
-    base = counts.select("sid", "run", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    base = _before(counts, "run", "n", "base")
     rank = F.row_number().over(Window.partitionBy("sid", "run").orderBy("slot")) - 1 + F.col("base")
     ranked = slots.join(base, ["sid", "run"]).select("slot", "sid", rank.alias("k"))
     # ranks that the schedule did not reach, in front of each source's target
