@@ -76,6 +76,7 @@ def exact_dedup(spark: SparkSession, path: str, digest=sha256, files_per_batch:
     groups = suspects.groupBy("digest", "text").agg(F.count(F.lit(1)).alias("n"), F.max("place").alias("keep"))
     checked = stored(groups.select("digest", "n", "keep", F.sha2(F.col("text").cast("binary"), 512).alias("sha512")), "exact-checked")
     split = checked.groupBy("digest").agg(F.count(F.lit(1)).alias("texts"), F.max("n").alias("n"), F.max("keep").alias("keep"))
+    split = stored(split, "exact-split")  # a table of its own, so that a digest with very many rows can be split in the join
     single = split.where("texts = 1").select(F.col("digest").alias("g"), "n", "keep")
     joined = rows.select("doc_id", "place", "digest", sha256(F.col("text")).alias("text_sha256")).join(single, F.col("digest") == F.col("g"), "left")
     clash = split.where("texts > 1").select("digest")
