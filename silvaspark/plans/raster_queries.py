@@ -191,7 +191,9 @@ def align_nearest(spark, d):
     return raster.align(heights(spark, d), raster.Affine(1.0, 0.0, 1.0, 0.0), spectral(spark, d), raster.Affine(2.0, 1.0, 0.5, 0.25))
 
 
-@query()
+@query(f"""with {HEIGHTS}, n as (select max(r) + 1 as hh, radians(0.01::double) * 6378137.0::double as side from h),
+    p as (select r as row, c as col, hh, degrees((c + 0.5::double) * side / 6378137.0::double) as lon, degrees(2 * atan(exp((side * hh - (r + 0.5::double) * side) / 6378137.0::double)) - pi() / 2) as lat from h, n)
+    select row, col, v from p left join h on h.r = cast(floor((lat - 0.01::double * hh) / -0.01::double) as int) and h.c = cast(floor(lon / 0.01::double) as int)""")
 def reproject_nearest(spark, d):
     """The height raster in degrees (0.01 per pixel) on a web-mercator grid of the same size, nearest neighbour."""
     h = heights(spark, d)
@@ -285,9 +287,11 @@ def dispatch_stitch(spark, d):
     return tiles.dispatch(heights(spark, d), lambda a: a / 2, "stitch", size=64)
 
 
-@query()
+@query(f"""with {HEIGHTS}, n as (select max(r) + 1 as hh from h), k as (select i, exp(-0.5 * i * i) / (select sum(exp(-0.5 * j * j)) from range(-4, 5) q(j)) as w from range(-4, 5) o(i)),
+    y as (select t.r, t.c, sum(s.v * w) as v from h t, n, k, h s where s.c = t.c and s.r = case when t.r + i < 0 then -1 - (t.r + i) when t.r + i >= hh then 2 * hh - 1 - (t.r + i) else t.r + i end group by 1, 2)
+    select t.r as row, t.c as col, round(sum(s.v * w), 3) as v from y t, k, y s where s.r = t.r and s.c = case when t.c + i < 0 then -1 - (t.c + i) when t.c + i >= 100 then 199 - (t.c + i) else t.c + i end group by 1, 2""")
 def gaussian_smooth(spark, d):
-    return focal.gaussian(heights(spark, d), 1.0, 512)
+    return focal.gaussian(heights(spark, d), 1.0, 512).withColumn("v", F.round("v", 3))
 
 
 @query()
@@ -296,10 +300,13 @@ def footprint_closing(spark, d):
     return focal.footprint_closing(h.withColumn("v", F.when(F.col("v") > 60000, F.col("v"))))
 
 
-@query()
+@query(f"""with {HEIGHTS}, w as (select * from (values (-1, 0), (1, 0), (0, -1), (0, 1), (-1, -1), (-1, 1), (1, -1), (1, 1)) q(dr, dc)),
+    m as (select t.r, t.c, dr, dc, min(k) as k from (select * from h where v <= 60000) t, w, range(1, 11) z(k), h s where s.r = t.r + k * dr and s.c = t.c + k * dc and s.v > 60000 group by 1, 2, 3, 4),
+    f as (select m.r, m.c, sum(s.v / (k * sqrt(dr * dr + dc * dc))) / sum(1 / (k * sqrt(dr * dr + dc * dc))) as v from m join h s on s.r = m.r + k * dr and s.c = m.c + k * dc group by 1, 2)
+    select h.r as row, h.c as col, round(case when h.v > 60000 then h.v else coalesce(f.v, 'nan'::double) end, 6) as v from h left join f on f.r = h.r and f.c = h.c""")
 def fill_nodata(spark, d):
     h = heights(spark, d)
-    return focal.fill_nodata(h.withColumn("v", F.when(F.col("v") > 60000, F.col("v"))), 10)
+    return focal.fill_nodata(h.withColumn("v", F.when(F.col("v") > 60000, F.col("v"))), 10).withColumn("v", F.round("v", 6))
 
 
 def _canopy(spark, d):
