@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import uuid
 
@@ -12,10 +13,13 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """Folder that the driver and all executors share: ``spark.checkpoint.dir`` of the session.
 
-    Where the cluster names none (tests on one machine), a temporary folder is made once and put in the session.
+    Where none is named and all runs on one machine (tests), a temporary folder is made once and put in the session; on
+    a cluster the setting is needed.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not re.fullmatch(r"local(\[.*\])?", spark.conf.get("spark.master", "")):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="silvaspark-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -26,16 +30,35 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: Spark deletes the shuffle files of a query when it ends.
+CLEANED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: cuts lineage and survives lost executors."""
+    """Write ``df`` as Parquet in the shared folder and read it back: cuts lineage and survives lost executors.
+
+    Nothing reads the shuffle files of the write again, so Spark deletes them when it is done.
+    """
     spark = df.sparkSession
-    path = fresh_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    path, before = fresh_path(spark, name), spark.conf.get(CLEANED, None)
+    try:
+        spark.conf.set(CLEANED, "true")
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEANED) if before is None else spark.conf.set(CLEANED, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete what ``stored`` wrote for tables that nothing will read again."""
+    for df in tables:
+        fs, p = _at(df.sparkSession, df.stored_at)
+        fs.delete(p, True)
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of finished steps, which it does once their plans are collected as garbage."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from silvaspark.llm.common import stored
+from silvaspark.llm.common import discard, stored
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -22,10 +22,17 @@ def components(edges: DataFrame) -> DataFrame:
         up = stored(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("up")), "hooks")
         over = up.select(F.col("node").alias("up"), F.col("up").alias("up2"))
         hooked = stored(up.join(over, "up", "left").select("node", F.coalesce("up2", "up").alias("root")), "hooked")
-        to = hooked.select(F.col("node").alias("root"), F.col("root").alias("next"))
-        roots = hooked if roots is None else stored(roots.join(to, "root", "left").select("node", F.coalesce("next", "root").alias("root")), "roots")
         a, b = hooked.select(F.col("node").alias("a"), F.col("root").alias("ra")), hooked.select(F.col("node").alias("b"), F.col("root").alias("rb"))
-        left = stored(_ordered(left.join(a, "a").join(b, "b"), "ra", "rb"), "edges")
+        fewer = stored(_ordered(left.join(a, "a").join(b, "b"), "ra", "rb"), "edges")
+        discard(up, left)
+        left = fewer
+        if roots is None:
+            roots = hooked
+            continue
+        to = hooked.select(F.col("node").alias("root"), F.col("root").alias("next"))
+        moved = stored(roots.join(to, "root", "left").select("node", F.coalesce("next", "root").alias("root")), "roots")
+        discard(roots, hooked)
+        roots = moved
     if roots is None:
         return edges.select(F.col("a").alias("node"), F.col("a").alias("root")).limit(0)
     return roots
