@@ -8,7 +8,13 @@ the word, its bits). Nothing is lost: a document also visits the next band if a
 no shingle fell in, which would join strangers, are left out only by documents that have so few of them that a linked
 pair must share another word.
 
-Only what components need is verified, on the shingle sets themselves, and never all pairs of a group:
+A linked pair agrees in several words as a rule: sketches have some more words than needed, and a document's own size
+bounds what may differ from any partner. If all its partners share t + 1 words with it, its t commonest keys are not
+needed: of the keys that two documents share the rarest is among none's t commonest. So keys of passages that very many
+documents share make no groups.
+
+Only what components need is verified, on the shingle sets themselves after folded sketches have ruled out what they
+can, and never all pairs of a group:
 1. documents with equal sets are one class;
 2. in each group of equal keys the members are paired with the least one; per class the pair with most keys comes first,
    the rest only if their classes are still apart;
@@ -26,13 +32,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from silvaspark.llm.common import release, stored
+from silvaspark.llm.common import discard, stored
 from silvaspark.llm.components import components
 from silvaspark.llm.native import bitmap_of, maybe_in
 
 U = np.uint64
 STEP = 1.5  # ratio of a size band's ends
-BLOCK = 1024  # members of a group that are compared in one go
+MORE = 8  # one word in so many is added to a sketch, so that common keys can be left out
+BLOCK = 8192  # members of a group that are compared in one go: few groups are cut, so few rows are copied
 
 _rng = np.random.default_rng(20240607)
 LOWER = np.arange(256, dtype=np.uint8)
@@ -97,24 +104,23 @@ class Bands:
         """Largest symmetric difference of linked sets of these sizes."""
         return (self.den - self.num) * (a + b) // (self.den + self.num)
 
+    def most_in(self, size: int, band: int) -> int:
+        """Largest symmetric difference of a set of this size and one of the band that it links with."""
+        return self.most(size, min(self.low[band + 1] - 1, size * self.den // self.num))
+
     def of(self, size: int) -> list[int]:
         """The band of a size, and the next if the set may link with one there."""
         band = int(np.searchsorted(self.low, size, "right")) - 1
         reach = size * self.den // self.num
         return [band, band + 1] if reach >= self.low[band + 1] else [band]
 
-    def words(self, band: int) -> tuple[int, int]:
-        """Words of the band's sketches, and how many a document may leave out because nothing fell in them.
-
-        A linked pair agrees in more words than may be left out. Their number allows for what words of a set of
-        the smallest size are empty by chance.
-        """
+    def words(self, band: int) -> int:
+        """Words of the band's sketches: more than a linked pair may differ in, by what words are empty by chance and some."""
         high = self.low[band + 1] - 1
         d = self.most(high, high)
         if d == 0:
-            return 0, 0  # only equal sets link here, and these are one class
-        spare = 1 + math.ceil(1.5 * (d + 2) * math.exp(-self.low[band] / (d + 2)))
-        return d + 1 + spare, spare
+            return 0  # only equal sets link here, and these are one class
+        return d + 2 + math.ceil(1.5 * (d + 2) * math.exp(-self.low[band] / (d + 2))) + d // MORE
 
 
 def xor_words(hashes: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -127,19 +133,29 @@ def xor_words(hashes: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
     return place[starts], np.bitwise_xor.reduceat(mix(hashes + U(3)), starts)
 
 
-def keys(hashes: np.ndarray, bands: Bands) -> np.ndarray:
-    """Join keys of a set: one for each word of its sketch in each of its bands."""
+def keys_by_band(hashes: np.ndarray, bands: Bands) -> list[tuple[int, np.ndarray]]:
+    """For each band of a set its join keys, one a word of its sketch, and how many of the commonest it may leave out.
+
+    With a partner it differs in ``most_in`` words at most, so it agrees in all others. Words in which both are empty
+    are not among its keys; a set with so many of them that no other word need agree has a key for these too.
+    """
     out = []
     for band in bands.of(len(hashes)):
-        words, spare = bands.words(band)
-        if words:
+        words, most = bands.words(band), bands.most_in(len(hashes), band)
+        if words and most:
             used, values = xor_words(hashes, words)
-            if words - len(used) > spare:
+            spare = words - 1 - most - (words - len(used))
+            if spare < 0:
                 every = np.zeros(words, U)
                 every[used.astype(np.int64)] = values
-                used, values = np.arange(words).astype(U), every
-            out.append(mix(mix(values + np.full(1, band, U) * BASE) + used))
-    return np.concatenate(out) if out else np.zeros(0, U)
+                used, values, spare = np.arange(words).astype(U), every, 0
+            out.append((spare, mix(mix(values + np.full(1, band, U) * BASE) + used)))
+    return out
+
+
+def keys(hashes: np.ndarray, bands: Bands) -> np.ndarray:
+    """All join keys of a set."""
+    return np.concatenate([np.zeros(0, U), *(k for _, k in keys_by_band(hashes, bands))])
 
 
 def identity(hashes: np.ndarray) -> tuple[int, int]:
@@ -184,7 +200,8 @@ class ParityJoin:
         null doc_id do not link others, and get the component of documents with the same set, or null. Rows that
         repeat a doc_id are one document: whatever one of them links with belongs to all. Empty tables give no rows.
         """
-        self.named = stored(self._named(), "join-sets")
+        found = stored(self._named(), "join-sets")
+        self.named = found.drop("bands")
         linkable = self.named.where("n_shingles > 0 and doc_id is not null")
         classes = linkable.groupBy("g1", "g2").agg(F.min("doc_id").alias("c"))
         again = linkable.join(classes, ["g1", "g2"]).where("doc_id <> c").select(F.col("c").alias("a"), F.col("doc_id").alias("b")).distinct()
@@ -192,77 +209,77 @@ class ParityJoin:
         repeated = linkable.groupBy("doc_id").agg(F.min("g1").alias("lo"), F.max("g1").alias("hi")).where("lo <> hi").select("doc_id")
         ties = again.join(repeated, F.col("b") == F.col("doc_id"), "left_semi")
         self.classes = stored(classes, "join-classes")
-        links = self._links()
+        members = self._members(found.where("doc_id is not null"))
+        links = self._links(members)
         roots = components(links.select("a", "b").unionByName(ties))
         degree = links.select("a").unionByName(links.select(F.col("b").alias("a"))).groupBy("a").agg(F.count(F.lit(1)).alias("n_links"))
         c = self.classes.join(roots, F.col("c") == F.col("node"), "left").join(degree, F.col("c") == F.col("a"), "left")
         c = stored(c.select("g1", "g2", "c", F.coalesce("root", "c").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "join-roots")
+        discard(members, self.sets, self.classes)
         out = self.named.join(c, ["g1", "g2"], "left")
         own = F.when(F.col("n_shingles") > 0, F.col("root")).otherwise(F.col("doc_id"))
         return out.select("doc_id", "n_shingles", own.alias("component_id"), F.when(F.col("n_shingles") > 0, F.coalesce("n_links", F.lit(0))).otherwise(F.lit(0)).alias("n_links"))
 
     def _named(self) -> DataFrame:
-        k = self.k
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                rows = [(len(s), *(identity(s) if len(s) else (0, 0))) for s in (shingle_set((t.as_py() or "").encode(), k) for t in batch.column(1))]
-                yield pa.record_batch([batch.column(0), *(pa.array(c, pa.int64()) for c in zip(*rows, strict=True))] if rows else [batch.column(0), *[pa.array([], pa.int64())] * 3], names=["doc_id", "n_shingles", "g1", "g2"])
-
-        return self.docs.mapInArrow(run, "doc_id long, n_shingles long, g1 long, g2 long")
-
-    def _keyed(self) -> DataFrame:
+        """Of each row the set's size and name, and per band its keys with how many of the commonest it may leave out."""
         k, num, den = self.k, self.num, self.den
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             bands = Bands(num, den)
-            for batch in batches:
-                keyed, names = [], []
-                for t in batch.column(1):
+            for some in (batch.slice(lo, 1024) for batch in batches for lo in range(0, batch.num_rows, 1024)):
+                names, in_bands, spares, in_keys, keyed = [], [0], [], [0], [np.zeros(0, U)]
+                for t in some.column(1):
                     s = shingle_set((t.as_py() or "").encode(), k)
-                    if len(s):
-                        keyed.append(keys(s, bands).view(np.int64))
-                        names.append((identity(s)[0], len(keyed[-1])))
-                if keyed:
-                    g = np.repeat(np.array([x[0] for x in names]), [x[1] for x in names])
-                    yield pa.record_batch([pa.array(np.concatenate(keyed)), pa.array(g)], names=["key", "g1"])
-
-        return self.docs.where("doc_id is not null").mapInArrow(run, "key long, g1 long")
-
-    def _links(self) -> DataFrame:
-        """Verified links ``a, b`` between classes: enough of them for the components, or with ``every_link`` all."""
-        keyed = self._keyed()  # made twice: its rows would be most of what a run writes
-        shared = keyed.groupBy("key").agg(F.min("g1").alias("lead"), F.max("g1").alias("last")).where("lead <> last").select("key", "lead")
+                    names.append((len(s), *(identity(s) if len(s) else (0, 0))))
+                    for spare, own in keys_by_band(s, bands) if len(s) else ():
+                        spares.append(spare)
+                        keyed.append(own)
+                        in_keys.append(in_keys[-1] + len(own))
+                    in_bands.append(len(spares))
+                lists = pa.ListArray.from_arrays(pa.array(in_keys, pa.int32()), pa.array(np.concatenate(keyed).view(np.int64)))
+                both = pa.StructArray.from_arrays([pa.array(spares, pa.int32()), lists], names=["spare", "keys"])
+                columns = [pa.array([x[i] for x in names], pa.int64()) for i in range(3)]
+                yield pa.record_batch([some.column(0), *columns, pa.ListArray.from_arrays(pa.array(in_bands, pa.int32()), both)], names=["doc_id", "n_shingles", "g1", "g2", "bands"])
+
+        return self.docs.mapInArrow(run, "doc_id long, n_shingles long, g1 long, g2 long, bands array<struct<spare: int, keys: array<bigint>>>")
+
+    def _members(self, found: DataFrame) -> DataFrame:
+        """``key, lead, c``: classes that share a key, and the least of them; without the commonest keys of each class."""
+        keyed = found.select("g1", F.posexplode("bands").alias("band", "b")).select("g1", "band", "b.spare", F.explode("b.keys").alias("key"))
+        shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("g1").alias("lo"), F.max("g1").alias("hi")).where("lo <> hi").select("key", "n")
         shared = stored(shared, "join-shared")
-        release(self.spark)
-        members = keyed.where(maybe_in(F.col("key"), bitmap_of(shared, "key", 24), 24)).join(shared, "key").select("key", "lead", "g1")
-        of = self.classes.select("g1", "c")
-        members = stored(members.distinct().join(of, "g1").select("key", "lead", "c"), "join-members")
-        leads = of.select(F.col("g1").alias("lead"), F.col("c").alias("a"))
+        bits = min(27, max(20, math.ceil(math.log2(16 * max(1, shared.count())))))
+        met = keyed.where(maybe_in(F.col("key"), bitmap_of(shared, "key", bits), bits)).join(shared, "key")
+        per_class = met.groupBy("g1", "band", "spare").agg(F.sort_array(F.collect_set(F.struct("n", "key"))).alias("keys"))
+        kept = per_class.select("g1", F.explode(F.slice("keys", F.lit(1), F.greatest(F.lit(0), F.size("keys") - F.col("spare"))).getField("key")).alias("key"))
+        kept = stored(kept.join(self.classes.select("g1", "c"), "g1").select("key", "c"), "join-kept")
+        discard(shared)
+        leads = kept.groupBy("key").agg(F.min("c").alias("lead"), F.max("c").alias("last")).where("lead <> last").select("key", "lead")
+        members = stored(kept.join(leads, "key").select("key", "lead", "c"), "join-members")
+        discard(kept)
+        return members
+
+    def _links(self, members: DataFrame) -> DataFrame:
+        """Verified links ``a, b`` between classes: enough of them for the components, or with ``every_link`` all."""
         self.sets = self._sets(members.select("c").distinct())
         if self.every_link:
             a, b = members.select("key", F.col("c").alias("a")), members.select("key", F.col("c").alias("b"))
-            return stored(self._verify(a.join(b, "key").where("a < b").select("a", "b").distinct()), "join-verified").where("linked").select("a", "b")
-        pairs = members.join(leads, "lead").where("a <> c").groupBy(F.col("a"), F.col("c").alias("b")).agg(F.count(F.lit(1)).alias("n"))
+            return self._verified(a.join(b, "key").where("a < b").select("a", "b").distinct()).where("linked").select("a", "b")
+        pairs = members.where("lead <> c").groupBy(F.col("lead").alias("a"), F.col("c").alias("b")).agg(F.count(F.lit(1)).alias("n"))
         pairs = stored(pairs, "join-pairs")
-        best = pairs.groupBy("b").agg(F.max_by("a", F.struct("n", -F.col("a"))).alias("a"))
-        release(self.spark)
-        done = stored(self._verify(best), "join-verified")
-        release(self.spark)
+        done = self._verified(pairs.groupBy("b").agg(F.max_by("a", F.struct("n", -F.col("a"))).alias("a")))
         roots = components(done.where("linked").select("a", "b"))
         rest = self._apart(pairs.select("a", "b").join(done.select("a", "b"), ["a", "b"], "left_anti"), roots)
-        more = stored(self._verify(rest), "join-verified")
-        done = stored(done.unionByName(more), "join-done")
-        release(self.spark)
+        done = done.unionByName(self._verified(rest))
         tries = 1
         while True:
             roots = components(done.where("linked").select("a", "b"))
             found, cut = self._candidates(members, roots, tries)
             fresh = self._apart(found.join(done.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), roots)
-            more = stored(self._verify(fresh), "join-verified")
+            more = self._verified(fresh)
             if more.isEmpty() and not cut:
                 return done.where("linked").select("a", "b")
-            done = stored(done.unionByName(more), "join-done")
+            done = done.unionByName(more)
             tries *= 4
 
     def _sets(self, needed: DataFrame) -> DataFrame:
@@ -282,20 +299,41 @@ class ParityJoin:
 
         return stored(texts.mapInArrow(run, "c long, n long, shingles binary, sketch binary"), "join-class-sets")
 
-    def _verify(self, pairs: DataFrame) -> DataFrame:
+    def _beside(self, pairs: DataFrame, column: str) -> DataFrame:
+        """Pairs beside their sets' sizes and what ``column`` holds: ``a, b, na, nb, xa, xb``."""
+        for side in ("b", "a"):  # a class is one b, as a rule, and a lead of many: its row goes to the pairs last
+            own = self.sets
+            if column == "shingles":
+                own = own.where(maybe_in(F.col("c"), bitmap_of(pairs.select(side), side)))
+            pairs = pairs.join(own.select(F.col("c").alias(side), F.col("n").alias("n" + side), F.col(column).alias("x" + side)), side)
+        return pairs.select("a", "b", "na", "nb", "xa", "xb")
+
+    def _verified(self, pairs: DataFrame) -> DataFrame:
+        """``a, b, linked`` of each pair. Sketches rule out what they can, so that few sets have to move."""
         num, den = self.num, self.den
-        b = self.sets.select(F.col("c").alias("b"), F.col("shingles").alias("sb"), F.col("n").alias("nb"))
-        a = self.sets.select(F.col("c").alias("a"), F.col("shingles").alias("sa"), F.col("n").alias("na"))
-        sized = pairs.select("a", "b").join(self.sets.select(F.col("c").alias("a"), F.col("n").alias("na")), "a").join(self.sets.select(F.col("c").alias("b"), F.col("n").alias("nb")), "b")
-        sized = sized.where(f"{den} * least(na, nb) >= {num} * greatest(na, nb)").select("a", "b")
-        both = sized.join(b.drop("nb"), "b").join(a.drop("na"), "a").select("a", "b", "sa", "sb")
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                size = batch.column(2).to_numpy() + batch.column(3).to_numpy()
+                apart = np.zeros(len(size), np.int64)
+                for i, (x, y) in enumerate(zip(batch.column(4), batch.column(5), strict=True)):
+                    x, y = np.frombuffer(x.as_buffer(), U), np.frombuffer(y.as_buffer(), U)
+                    words = min(len(x), len(y))
+                    apart[i] = np.bitwise_count(fold_to(x, words) ^ fold_to(y, words)).sum()
+                yield pa.record_batch([batch.column(0), batch.column(1), pa.array(apart * (den + num) <= (den - num) * size)], names=["a", "b", "near"])
+
+        def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                linked = [similar(np.frombuffer(x.as_buffer(), U), np.frombuffer(y.as_buffer(), U), num, den) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
-                yield pa.record_batch([batch.column(0), batch.column(1), pa.array(linked, pa.bool_())], names=["a", "b", "linked"])
+                found = [similar(np.frombuffer(x.as_buffer(), U), np.frombuffer(y.as_buffer(), U), num, den) for x, y in zip(batch.column(4), batch.column(5), strict=True)]
+                yield pa.record_batch([batch.column(0), batch.column(1), pa.array(found, pa.bool_())], names=["a", "b", "linked"])
 
-        return both.mapInArrow(run, "a long, b long, linked boolean")
+        fits = f"{den} * least(na, nb) >= {num} * greatest(na, nb)"
+        pairs = stored(pairs.select("a", "b"), "join-asked")
+        if pairs.isEmpty():
+            return pairs.select("a", "b", F.lit(False).alias("linked"))
+        close = stored(self._beside(pairs, "sketch").where(fits).mapInArrow(near, "a long, b long, near boolean").where("near").select("a", "b"), "join-near")
+        sure = self._beside(close, "shingles").mapInArrow(linked, "a long, b long, linked boolean").where("linked")
+        return stored(pairs.join(sure, ["a", "b"], "left").select("a", "b", F.col("linked").isNotNull().alias("linked")), "join-verified")
 
     @staticmethod
     def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
@@ -342,7 +380,7 @@ class ParityJoin:
                 yield pairs_of(pa.Table.from_batches(held), np.zeros(0, int), bands, tries)
 
         found = dealt.mapInArrow(run, "a long, b long, cut boolean")
-        found = stored(found.groupBy("a", "b").agg(F.max("cut").alias("cut")), "join-near")
+        found = stored(found.groupBy("a", "b").agg(F.max("cut").alias("cut")), "join-found")
         return found.select("a", "b"), not found.where("cut").isEmpty()
 
 
@@ -388,7 +426,7 @@ def one_of_each(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> D
     Rows with a null doc_id, and those without words, stay. Only rows that may have to go are moved.
     """
     found = near_duplicates(docs, k, num, den)
-    gone = stored(found.where("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct(), "join-gone")
-    suspect = F.coalesce(maybe_in(F.col("doc_id"), bitmap_of(gone, "gone")), F.lit(False))
-    clean = docs.where(~suspect)
-    return clean.unionByName(docs.where(suspect).join(gone, F.col("doc_id") == F.col("gone"), "left_anti"))
+    name = "gone" + "_" * max(map(len, docs.columns))  # like no column of docs
+    gone = stored(found.where("doc_id <> component_id").select(F.col("doc_id").alias(name)).distinct(), "join-gone")
+    suspect = F.coalesce(maybe_in(F.col("doc_id"), bitmap_of(gone, name)), F.lit(False))
+    return docs.where(~suspect).unionByName(docs.where(suspect).join(gone, F.col("doc_id") == F.col(name), "left_anti"))
