@@ -78,20 +78,23 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, cost: float = COST, rounds:
     for found, y in zip(rows, labels, strict=True):
         counts[int(y), found] += 1
     ratio = np.log(counts[1] / counts[1].sum()) - np.log(counts[0] / counts[0].sum())
-    values = [ratio[f] / np.sqrt((ratio[f] ** 2).sum() + 1e-12) for f in rows]
+    square = ratio**2
+    # rows are scaled to length one; held as weight times ratio, so that nothing but the indicators is kept of a row
+    scale = 1 / np.sqrt(np.array([square[f].sum() for f in rows]) + 1e-12)
     sign = np.where(labels > 0, 1.0, -1.0)
     w, bias, alpha, rng = np.zeros(size), 0.0, np.zeros(n), np.random.default_rng(seed)
     for _ in range(rounds):
         for i in rng.permutation(n):
-            f, x = rows[i], values[i]
-            gradient = sign[i] * (w[f] @ x + bias) - 1
-            new = min(max(alpha[i] - gradient / (x @ x + 1), 0.0), cost)
+            f = rows[i]
+            gradient = sign[i] * (w[f].sum() * scale[i] + bias) - 1
+            own = square[f]
+            new = min(max(alpha[i] - gradient / (own.sum() * scale[i] ** 2 + 1), 0.0), cost)
             if new != alpha[i]:
                 step = (new - alpha[i]) * sign[i]
-                w[f] += step * x
+                w[f] += step * scale[i] * own
                 bias += step
                 alpha[i] = new
-    model = Model(w * ratio, ratio**2, 1.0, 0.0)
+    model = Model(w, square, 1.0, 0.0)
     model.slope, model.shift = calibrate(np.array([model.margin(f) for f in rows]) + bias, labels)
     model.shift += model.slope * bias
     return model
@@ -127,6 +130,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     chosen = known.where(~held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "quality")
+    texts = texts.groupBy("doc_id", "quality").agg(F.min(F.coalesce("text", F.lit(""))).alias("text")).select("doc_id", "text", "quality")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flags = np.zeros(1 << BITS, bool)
@@ -135,15 +139,18 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
             yield pa.record_batch([batch.column(0), batch.column(2).cast(pa.int32()), pa.array(found, pa.binary())], names=["doc_id", "quality", "found"])
 
     rows = texts.mapInArrow(run, "doc_id long, quality int, found binary").toArrow().sort_by([("doc_id", "ascending"), ("quality", "ascending")])
-    found = [np.frombuffer(x.as_buffer(), "<u4").astype(np.int64) for x in rows["found"]]
+    found = [np.frombuffer(x.as_buffer(), "<u4") for x in rows["found"]]  # as they came, without a copy
     return fit(found, np.array(rows["quality"].to_pylist(), np.int64).reshape(-1) if found else np.zeros(0, np.int64))
 
 
 def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
     """``score`` and ``predicted`` for every row of ``docs``, beside ``doc_id`` or the columns ``keep``.
 
-    Null texts count as empty; an empty text has no indicator and gets the score of margin 0.
+    Null texts count as empty; an empty text has no indicator and gets the score of margin 0. Columns to keep must have
+    other names than the two new ones (ValueError).
     """
+    if clash := {"score", "predicted"}.intersection(keep or ()):
+        raise ValueError(f"{sorted(clash)} cannot be kept beside the new columns")
     keep = keep or ["doc_id"]
     shared = docs.sparkSession.sparkContext.broadcast(model)
     read = docs.select(*keep, F.coalesce("text", F.lit("")).alias("__text"))
@@ -160,7 +167,11 @@ def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataF
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """The rows of ``docs`` that score 0.5 or more under a model trained on them, all columns as they are."""
+    """The rows of ``docs`` that score 0.5 or more under a model trained on them, all columns as they are.
+
+    Null texts score as empty ones; repeated rows stay or go alike; without labels of both classes all score the smoothed
+    share of label 1, 0.5 without any, and so stay.
+    """
     shared, at = docs.sparkSession.sparkContext.broadcast(train(docs, labels, sample)), docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
