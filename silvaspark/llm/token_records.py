@@ -28,8 +28,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 FRAME, HEAD, ENTRY = "<QI", "<qBB", "<qQQ"  # length and its check; start of a payload; entry of the index
-KEPT = 350_000  # entries of each table of encoded pieces that a worker holds; a full one is emptied
-JOINED = 2000  # words that go to the library in one text
+KEPT = 600_000  # entries of each table of encoded pieces that a worker holds; a full one is emptied
+LONG = 100  # characters of a piece from which it is not remembered
+JOINED = 20_000  # units that go to the library in one text
 
 
 def masked(data: bytes) -> int:
@@ -67,15 +68,15 @@ def file_system(uri: str) -> tuple[pafs.FileSystem, str]:
 class Encoder:
     """Ids of whole texts as the tokenizers library gives them for a byte-level BPE file.
 
-    The library's word pattern never lets a token span two of its words, so a text's ids are those of its words in a
-    row. Texts are cut at blanks and line ends; what stands between is encoded by the library once and remembered.
-    Texts with runs of white space, or white space other than single blanks and line ends, go to the library whole.
+    The library's word pattern never lets a token span two of its words, and a word that begins in white space goes no
+    further than the text up to the next white space. So a text's ids are those of its units in a row: each unit is a
+    run of white space with what follows it. Units are encoded by the library once and remembered.
     """
 
-    # What makes a text odd, runs of white space and its other characters.
-    ODD = ["  ", " \n", "\n ", "\n\n", *map(chr, [9, 11, 12, 13, 28, 29, 30, 31, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])]
-    # Fixed value: the word pattern of byte-level vocabularies.
-    WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+    # White space other than single blanks and line ends, which makes a text odd.
+    ODD = ["  ", " \n", "\n ", "\n\n", *map(chr, [9, 11, 12, 13, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])]
+    UNITS = regex.compile(r"\s*+\S++|\s++")
+    UNSURE = re.compile("[\x1c-\x1f]")  # white space for some, not for others: the library takes such texts whole
 
     def __init__(self, path: str):
         import os
@@ -89,11 +90,13 @@ class Encoder:
         added = self.lib.get_added_tokens_decoder()
         self.special = {t.content: np.array([i], self.dtype).tobytes() for i, t in added.items()}
         self.split = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
-        self.length = np.zeros(self.lib.get_vocab_size(), np.int64)  # bytes of each token: one character stands for a byte
+        # tokens that begin in a blank, and in a line end, by the characters that stand for these bytes
+        self.lead = {c: np.zeros(self.lib.get_vocab_size(), bool) for c in " \n"}
         for token, i in self.lib.get_vocab().items():
-            self.length[i] = len(token)
-        self.words: dict[str, bytes] = {}
-        self.after: dict[str, bytes] = {}  # what follows a blank, or begins with a line end -> ids with that blank
+            for c, shown in ((" ", "\u0120"), ("\n", "\u010a")):
+                self.lead[c][i] = token[0] == shown
+        self.after: dict[str, bytes] = {}  # unit -> its ids, with the blank in front of those that don't begin with white space
+        self.first: dict[str, bytes] = {}  # first unit of a text -> its ids
 
     def pack(self, ids) -> bytes:
         return np.array(ids, self.dtype).tobytes()
@@ -101,51 +104,57 @@ class Encoder:
     def whole(self, texts: list[str]) -> list[bytes]:
         return [self.pack(e.ids) for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
 
+    def units(self, text: str) -> list[str]:
+        """The first unit as it is; of the others, those that begin with one blank stand without it."""
+        if not any(x in text for x in self.ODD):
+            return text.replace("\n", " \n").split(" ")
+        found = self.UNITS.findall(text)
+        if text[0].isspace():
+            found.insert(0, "")
+        return [found[0], *(u[1:] if u[0] == " " and not u[1:2].isspace() else u for u in found[1:])]
+
     def learn(self, units: Iterable[str]) -> None:
-        """Encode units that aren't known yet: their new words in a few long texts, the ids dealt out by byte length."""
-        cut = {u: [led] if u.isalpha() else self.WORDS.findall(led) for u in units for led in (u if u[:1] == "\n" else " " + u,)}
-        new = {w for ws in cut.values() for w in ws if w not in self.words}
-        rest = [w for w in new if not w[w[0] == " " :].isalpha()]
-        self.words.update(zip(rest, self.whole(rest), strict=True))
-        plain = [w for w in new if w[w[0] == " " :].isalpha()]
-        for i in range(0, len(plain), JOINED):
-            some = plain[i : i + JOINED]
-            led = [w if w[0] == " " else "\n" + w for w in some]  # a line end in front keeps it apart from the word before
-            ids = np.array(self.lib.encode_batch_fast(["".join(led)], add_special_tokens=False)[0].ids, self.dtype)
-            ends = np.cumsum(self.length[ids])
-            stops = np.cumsum([len(w.encode()) for w in led])
-            starts = np.concatenate([[0], stops[:-1]]) + [w[0] != " " for w in some]
-            a, b = np.searchsorted(ends, starts, "right"), np.searchsorted(ends, stops, "right")
-            packed = ids.tobytes()
-            self.words.update((w, packed[x:y]) for w, x, y in zip(some, (a * self.width).tolist(), (b * self.width).tolist(), strict=True))
-        words = self.words
-        self.after.update((u, words[ws[0]] if len(ws) == 1 else b"".join([words[w] for w in ws])) for u, ws in cut.items())
+        """Encode units that aren't known yet, many in a text: a unit's first token is known by the blank or line end it begins with."""
+        kinds: dict[str, list[str]] = {" ": [], "\n": [], "": []}
+        for u in units:
+            kinds[" " if u and not u[0].isspace() else "\n" if u[:1] == "\n" and not u[1:2].isspace() and len(u) > 1 else ""].append(u)
+        self.after.update((u, x) for u, x in zip(kinds[""], self.whole([u or " " for u in kinds[""]]), strict=True))
+        for lead, glue in ((" ", " "), ("\n", "")):
+            for i in range(0, len(kinds[lead]), JOINED):
+                some = kinds[lead][i : i + JOINED]
+                joined = glue + glue.join(some)
+                ids = np.array(self.lib.encode_batch_fast([joined], add_special_tokens=False)[0].ids, self.dtype)
+                at = np.flatnonzero(self.lead[lead][ids]) * self.width
+                packed = ids.tobytes()
+                self.after.update((u, packed[x:y]) for u, x, y in zip(some, at.tolist(), [*at[1:].tolist(), len(packed)], strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Packed ids of each text."""
-        if len(self.after) > KEPT:
-            self.after.clear()
-        if len(self.words) > KEPT:
-            self.words.clear()
         out: list = []
         for t in texts:
             if any(s in t for s in self.special):
                 parts = self.split.split(t)
                 out.append(b"".join(self.special[p] if p in self.special else self.whole([p])[0] for p in parts if p))
-            elif any(x in t for x in self.ODD):
+            elif self.UNSURE.search(t):
                 out.append(self.whole([t])[0])
             else:
-                out.append(t.replace("\n", " \n").split(" "))
+                out.append(self.units(t) if t else b"")
+        cut = [units for units in out if type(units) is list]
         missing: set[str] = set()
         known = self.after.__contains__
-        for units in out:
-            if type(units) is list:
-                missing.update(filterfalse(known, units[1:]))
+        for units in cut:
+            missing.update(filterfalse(known, units[1:]))
         self.learn(missing)
-        get = self.after.__getitem__
-        firsts = self.whole([units[0] for units in out if type(units) is list])
-        lead = iter(firsts)
-        return [next(lead) + b"".join(map(get, units[1:])) if type(units) is list else units for units in out]
+        firsts = list({units[0] for units in cut}.difference(self.first))
+        self.first.update(zip(firsts, self.whole(firsts), strict=True))
+        get, first = self.after.__getitem__, self.first
+        ids = [first[units[0]] + b"".join(map(get, units[1:])) if type(units) is list else units for units in out]
+        for table, new in ((self.after, missing), (self.first, firsts)):
+            if len(table) > KEPT:
+                table.clear()
+            for u in [u for u in new if len(u) > LONG]:  # text without white space
+                table.pop(u, None)
+        return ids
 
 
 @functools.lru_cache(maxsize=2)
@@ -158,7 +167,8 @@ def write_token_records(docs: DataFrame, folder: str, tokenizer: str, end_id: in
 
     Returns the manifest, in order: ``part, file, docs, tokens`` of each file (as many entries as tasks that wrote).
     A null text is an empty document (only the end id); null doc_ids come first; repeated doc_ids stand in a row,
-    ordered by text; empty tables write nothing; other columns are not read.
+    ordered by text; empty tables write nothing; other columns are not read. Texts move and are encoded where they
+    arrive: ids of rare words take more room than the words.
     """
     fs, at = file_system(folder)
     fs.create_dir(at, recursive=True)
@@ -170,19 +180,17 @@ def write_token_records(docs: DataFrame, folder: str, tokenizer: str, end_id: in
         end, n_docs, n_ids, offset = enc.pack([end_id]), 0, 0, 0
         fs, at = file_system(folder)
         name = f"part-{part:06d}-{uuid.uuid4().hex}"
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
-                some = batch.slice(lo, 512)
-                texts = [t or "" for t in some.column(1).to_pylist()]
-                if out is None:
-                    out, index = fs.open_output_stream(f"{at}/{name}.rec"), fs.open_output_stream(f"{at}/{name}.idx")
-                for doc_id, ids in zip(some.column(0).to_pylist(), enc.encode(texts), strict=True):
-                    ids += end
-                    n = len(ids) // enc.width
-                    record = frame(doc_id, ids, enc.width)
-                    out.write(record)
-                    index.write(struct.pack(ENTRY, doc_id or 0, offset, n))
-                    offset, n_docs, n_ids = offset + len(record), n_docs + 1, n_ids + n
+        for some in (batch.slice(lo, 512) for batch in batches for lo in range(0, batch.num_rows, 512)):
+            if out is None:
+                out, index = fs.open_output_stream(f"{at}/{name}.rec"), fs.open_output_stream(f"{at}/{name}.idx")
+            texts = [t or "" for t in some.column(1).to_pylist()]
+            for doc_id, ids in zip(some.column(0).to_pylist(), enc.encode(texts), strict=True):
+                ids += end
+                n = len(ids) // enc.width
+                record = frame(doc_id, ids, enc.width)
+                out.write(record)
+                index.write(struct.pack(ENTRY, doc_id or 0, offset, n))
+                offset, n_docs, n_ids = offset + len(record), n_docs + 1, n_ids + n
         if out is not None:
             out.close()
             index.close()
