@@ -60,6 +60,19 @@ def op7_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), k=3, num=90, den=100).select("doc_id", "n_shingles", "component_id")
 
 
+OP7_SQL = r"""
+with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as t from documents),
+n as (select doc_id, g, cast(len(g) as bigint) as n_shingles from (select doc_id, case when len(t) = 0 then [] when len(t) < 3 then [array_to_string(t, ' ')]
+    else list_distinct([array_to_string(t[i:i + 2], ' ') for i in range(1, len(t) - 1)]) end as g from w)),
+e as (select doc_id, n_shingles, unnest(g) as x from n),
+c as (select a.doc_id as a, b.doc_id as b, count(*) as k, any_value(a.n_shingles) as na, any_value(b.n_shingles) as nb from e a join e b on a.x = b.x and a.doc_id < b.doc_id group by 1, 2),
+l as (select a, b from c where 100 * k >= 90 * (na + nb - k)),
+u as (select a, b from l union all select b, a from l),
+r(a, b) as (select a, b from u union select r.a, u.b from r join u on r.b = u.a)
+select n.doc_id, n.n_shingles, least(n.doc_id, coalesce(min(r.b), n.doc_id)) as component_id from n left join r on r.a = n.doc_id group by 1, 2
+"""
+
+
 def op8_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     from silvaspark.llm.licences import scan_licences
 
@@ -89,4 +102,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     from silvaspark.llm.mixing import MIX_SQL
 
-    return {"op6_exact_dedup": OP6_SQL, "op10_mixing": MIX_SQL}
+    return {"op6_exact_dedup": OP6_SQL, "op7_parity_join": OP7_SQL, "op10_mixing": MIX_SQL}
