@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from silvaspark.llm.common import discard, stored
+from silvaspark.llm.common import discard, stored, stored_small
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -17,20 +17,20 @@ def components(edges: DataFrame) -> DataFrame:
     """
     left = stored(_ordered(edges, "a", "b"), "edges")
     roots: DataFrame | None = None
-    while not left.isEmpty():
+    while n := left.count():
         both = left.select("a", "b").unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        up = stored(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("up")), "hooks")
+        up = stored_small(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("up")), "hooks", 2 * n)
         over = up.select(F.col("node").alias("up"), F.col("up").alias("up2"))
-        hooked = stored(up.join(over, "up", "left").select("node", F.coalesce("up2", "up").alias("root")), "hooked")
+        hooked = stored_small(up.join(over, "up", "left").select("node", F.coalesce("up2", "up").alias("root")), "hooked", 2 * n)
         a, b = hooked.select(F.col("node").alias("a"), F.col("root").alias("ra")), hooked.select(F.col("node").alias("b"), F.col("root").alias("rb"))
-        fewer = stored(_ordered(left.join(a, "a").join(b, "b"), "ra", "rb"), "edges")
+        fewer = stored_small(_ordered(left.join(a, "a").join(b, "b"), "ra", "rb"), "edges", n)
         discard(up, left)
         left = fewer
         if roots is None:
-            roots = hooked
+            roots, n_roots = hooked, hooked.count()
             continue
         to = hooked.select(F.col("node").alias("root"), F.col("root").alias("next"))
-        moved = stored(roots.join(to, "root", "left").select("node", F.coalesce("next", "root").alias("root")), "roots")
+        moved = stored_small(roots.join(to, "root", "left").select("node", F.coalesce("next", "root").alias("root")), "roots", n_roots)
         discard(roots, hooked)
         roots = moved
     if roots is None:

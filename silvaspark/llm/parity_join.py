@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from silvaspark.llm.common import discard, stored
+from silvaspark.llm.common import discard, stored, stored_small
 from silvaspark.llm.components import components
 from silvaspark.llm.native import bitmap_of, maybe_in
 
@@ -40,6 +40,7 @@ U = np.uint64
 STEP = 1.5  # ratio of a size band's ends
 MORE = 8  # one word in so many is added to a sketch, so that common keys can be left out
 BLOCK = 8192  # members of a group that are compared in one go: few groups are cut, so few rows are copied
+FEWEST, FASTER = 4, 16  # pairs of a class with another component in the first round, and how many times as many in each next
 
 _rng = np.random.default_rng(20240607)
 LOWER = np.arange(256, dtype=np.uint8)
@@ -268,19 +269,26 @@ class ParityJoin:
         pairs = members.where("lead <> c").groupBy(F.col("lead").alias("a"), F.col("c").alias("b")).agg(F.count(F.lit(1)).alias("n"))
         pairs = stored(pairs, "join-pairs")
         done = self._verified(pairs.groupBy("b").agg(F.max_by("a", F.struct("n", -F.col("a"))).alias("a")))
-        roots = components(done.where("linked").select("a", "b"))
+        roots = self._roots(done)
         rest = self._apart(pairs.select("a", "b").join(done.select("a", "b"), ["a", "b"], "left_anti"), roots)
-        done = done.unionByName(self._verified(rest))
-        tries = 1
+        more = self._verified(rest)
+        done = done.unionByName(more)
+        tries = FEWEST
         while True:
-            roots = components(done.where("linked").select("a", "b"))
+            roots = self._roots(more, roots)
             found, cut = self._candidates(members, roots, tries)
             fresh = self._apart(found.join(done.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), roots)
             more = self._verified(fresh)
             if more.isEmpty() and not cut:
                 return done.where("linked").select("a", "b")
             done = done.unionByName(more)
-            tries *= 4
+            tries *= FASTER
+
+    @staticmethod
+    def _roots(verified: DataFrame, before: DataFrame | None = None) -> DataFrame:
+        """Components of the links among ``verified`` pairs and of what ``before`` has found."""
+        links = verified.where("linked").select("a", "b")
+        return components(links if before is None else links.unionByName(before.select(F.col("root").alias("a"), F.col("node").alias("b"))))
 
     def _sets(self, needed: DataFrame) -> DataFrame:
         """``c, n, shingles, sketch`` of the classes in ``needed``, from the texts of their first documents."""
@@ -329,11 +337,12 @@ class ParityJoin:
 
         fits = f"{den} * least(na, nb) >= {num} * greatest(na, nb)"
         pairs = stored(pairs.select("a", "b"), "join-asked")
-        if pairs.isEmpty():
+        n = pairs.count()
+        if n == 0:
             return pairs.select("a", "b", F.lit(False).alias("linked"))
         close = stored(self._beside(pairs, "sketch").where(fits).mapInArrow(near, "a long, b long, near boolean").where("near").select("a", "b"), "join-near")
         sure = self._beside(close, "shingles").mapInArrow(linked, "a long, b long, linked boolean").where("linked")
-        return stored(pairs.join(sure, ["a", "b"], "left").select("a", "b", F.col("linked").isNotNull().alias("linked")), "join-verified")
+        return stored_small(pairs.join(sure, ["a", "b"], "left").select("a", "b", F.col("linked").isNotNull().alias("linked")), "join-verified", n)
 
     @staticmethod
     def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:

@@ -243,3 +243,28 @@ def test_stages_on_nothing_and_on_nulls(spark, docs, tmp_path):
         assert out.count() <= 10, name
         if name != corpus_pipeline.STAGES[-1][0]:
             assert out.columns == odd.columns
+
+
+def test_stored_tables_move_small_batches_and_write_few_files(spark):
+    import pyarrow as pa
+
+    from silvaspark.llm.common import stored
+    from silvaspark.llm.components import components
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.record_batch([pa.array([b.nbytes], pa.int64())], names=["n"])
+
+    wide = spark.range(0, 2000, 1, 1).select("id", F.repeat(F.lit("x"), 10_000).alias("x"))
+    assert stored(wide.mapInArrow(sizes, "n long"), "sizes").agg(F.max("n")).first()[0] < 8 << 20
+    before, aqe = (spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled"))
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "40")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        roots = components(spark.range(1, 300).select(F.col("id").alias("a"), (F.col("id") - F.col("id") % 3).alias("b")))
+        files = len(roots.inputFiles())
+        assert {r.node: r.root for r in roots.collect()} == {i: i - i % 3 if i >= 3 else 0 for i in range(300)}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", aqe)
+    assert files <= 8
