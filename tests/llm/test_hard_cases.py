@@ -86,6 +86,27 @@ def test_lines_of_rows_that_repeat_a_doc_id(spark, docs):
     assert collections.Counter((r.doc_id, r.text) for r in dedup_lines(df).collect()) == want
 
 
+@pytest.mark.parametrize("size", [150, 300])
+def test_long_lines_that_are_unlike_are_not_verified(spark, docs, monkeypatch, size):
+    """Lines of many common words share prefix words, but only the planted near copies are compared as whole sets."""
+    from silvaspark.llm import line_dedup
+
+    rng = random.Random(size)
+    vocabulary = ["w" + str(i) for i in range(size * 3)]
+    lines = [" ".join(rng.sample(vocabulary, rng.randrange(size - 9, size))) for _ in range(120)]
+    near = [line.rsplit(" ", 3)[0] + " new" for line in lines[:10]]
+    verified, similar = [], line_dedup._similar
+
+    def counted(pairs, *rest):
+        verified.append(pairs.count())
+        return similar(pairs, *rest)
+
+    monkeypatch.setattr(line_dedup, "_similar", counted)
+    out = {r.doc_id: r.n_kept for r in line_dedup.dedup_lines(docs(list(enumerate(lines + near)))).collect()}
+    assert out == {i: int(i < len(lines)) for i in range(len(lines) + len(near))}
+    assert sum(verified) < 2 * len(near)
+
+
 def test_classes_of_very_common_tokens_keep_their_order(spark):
     """Ranks stay positive in the highest class, so that the commonest tokens sort last."""
     from silvaspark.llm.line_dedup import CLASSES
