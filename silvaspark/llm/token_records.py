@@ -22,15 +22,17 @@ from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 FRAME, HEAD, ENTRY = "<QI", "<qBB", "<qQQ"  # length and its check; start of a payload; entry of the index
-KEPT = 600_000  # entries of each table of encoded pieces that a worker holds; a full one is emptied
+KEPT = 1_000_000  # entries of each table of encoded pieces that a worker holds; a full one is emptied
 LONG = 100  # characters of a piece from which it is not remembered
-JOINED = 20_000  # units that go to the library in one text
+JOINED = 2_000  # units that go to the library in one text
+ROWS, CHARS = 4096, 4 << 20  # of texts that are encoded at once, at most (a longer text alone)
 
 
 def masked(data: bytes) -> int:
@@ -70,7 +72,8 @@ class Encoder:
 
     The library's word pattern never lets a token span two of its words, and a word that begins in white space goes no
     further than the text up to the next white space. So a text's ids are those of its units in a row: each unit is a
-    run of white space with what follows it. Units are encoded by the library once and remembered.
+    run of white space with what follows it. Units are encoded by the library once and remembered; texts are cut and
+    their units told apart in columns, so that each unit is looked up once for many texts.
     """
 
     # White space other than single blanks and line ends, which makes a text odd.
@@ -105,14 +108,23 @@ class Encoder:
         return [self.pack(e.ids) for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
 
     def units(self, text: str) -> list[str]:
-        """The first unit as it is; of the others, those that begin with one blank stand without it."""
-        if not any(x in text for x in self.ODD):
-            return text.replace("\n", " \n").split(" ")
+        """Units of an odd text: the first as it is; of the others, those that begin with one blank stand without it."""
         found = self.UNITS.findall(text)
         if text[0].isspace():
             found.insert(0, "")
         return [found[0], *(u[1:] if u[0] == " " and not u[1:2].isspace() else u for u in found[1:])]
 
+    def cut(self, texts: list[str]) -> tuple[np.ndarray, pa.Array]:
+        """``(ends, units)``: where the units of each text end, and all of them in a row."""
+        plain = [not any(x in t for x in self.ODD) for t in texts]
+        rows = pa.array([t if p else "" for t, p in zip(texts, plain, strict=True)], pa.large_string())
+        lists = pc.split_pattern(pc.replace_substring(rows, "\n", " \n"), " ")
+        if all(plain):
+            return lists.offsets.to_numpy()[1:], lists.values
+        odd = pa.array([[] if p else self.units(t) for t, p in zip(texts, plain, strict=True)], pa.large_list(pa.large_string()))
+        lists = pc.if_else(pa.array(plain), lists.cast(odd.type), odd)
+        return lists.offsets.to_numpy()[1:], lists.values
+
     def learn(self, units: Iterable[str]) -> None:
         """Encode units that aren't known yet, many in a text: a unit's first token is known by the blank or line end it begins with."""
         kinds: dict[str, list[str]] = {" ": [], "\n": [], "": []}
@@ -138,23 +150,49 @@ class Encoder:
             elif self.UNSURE.search(t):
                 out.append(self.whole([t])[0])
             else:
-                out.append(self.units(t) if t else b"")
-        cut = [units for units in out if type(units) is list]
-        missing: set[str] = set()
-        known = self.after.__contains__
-        for units in cut:
-            missing.update(filterfalse(known, units[1:]))
-        self.learn(missing)
-        firsts = list({units[0] for units in cut}.difference(self.first))
-        self.first.update(zip(firsts, self.whole(firsts), strict=True))
-        get, first = self.after.__getitem__, self.first
-        ids = [first[units[0]] + b"".join(map(get, units[1:])) if type(units) is list else units for units in out]
-        for table, new in ((self.after, missing), (self.first, firsts)):
+                out.append(None if t else b"")
+        found = iter(self.from_units([t for t, ids in zip(texts, out, strict=True) if ids is None]))
+        return [next(found) if ids is None else ids for ids in out]
+
+    def from_units(self, texts: list[str]) -> list[bytes]:
+        """Packed ids of texts that aren't empty, from those of their units."""
+        if not texts:
+            return []
+        ends, units = self.cut(texts)
+        begins = np.concatenate(([0], ends[:-1]))
+        firsts = units.take(pa.array(begins)).to_pylist()
+        coded = units.dictionary_encode()
+        each, at = coded.dictionary.to_pylist(), coded.indices.to_numpy().copy()
+        new, new_first = list(filterfalse(self.after.__contains__, each)), list(set(firsts).difference(self.first))
+        self.learn(new)
+        self.first.update(zip(new_first, self.whole(new_first), strict=True))
+        pieces = [*map(self.after.__getitem__, each), *map(self.first.__getitem__, firsts)]
+        for table, fresh in ((self.after, new), (self.first, new_first)):
             if len(table) > KEPT:
                 table.clear()
-            for u in [u for u in new if len(u) > LONG]:  # text without white space
+            for u in [u for u in fresh if len(u) > LONG]:  # text without white space
                 table.pop(u, None)
-        return ids
+        at[begins] = len(each) + np.arange(len(firsts))  # the first unit of a text has no blank in front
+        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces)) // self.width
+        starts, n = np.cumsum(sizes) - sizes, sizes[at]
+        upto = np.cumsum(n)
+        kind = np.int32 if max(upto[-1], sizes.sum()) < 1 << 31 else np.int64  # places of ids, the most room of all
+        place = np.repeat((starts[at] - upto + n).astype(kind), n)
+        place += np.arange(upto[-1], dtype=kind)
+        ids = np.frombuffer(b"".join(pieces), self.dtype)[place].tobytes()
+        bounds = [0, *(upto[ends - 1] * self.width).tolist()]
+        return [ids[x:y] for x, y in zip(bounds, bounds[1:], strict=False)]
+
+
+def slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """Slices of at most ``ROWS`` rows and about ``CHARS`` bytes of a text column."""
+    size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    upto, lo = np.cumsum(size, dtype=np.int64), 0
+    while lo < batch.num_rows:
+        within = int(np.searchsorted(upto, upto[lo] - size[lo] + CHARS, "right"))
+        hi = max(lo + 1, min(lo + ROWS, within))
+        yield batch.slice(lo, hi - lo)
+        lo = hi
 
 
 @functools.lru_cache(maxsize=2)
@@ -180,7 +218,7 @@ def write_token_records(docs: DataFrame, folder: str, tokenizer: str, end_id: in
         end, n_docs, n_ids, offset = enc.pack([end_id]), 0, 0, 0
         fs, at = file_system(folder)
         name = f"part-{part:06d}-{uuid.uuid4().hex}"
-        for some in (batch.slice(lo, 512) for batch in batches for lo in range(0, batch.num_rows, 512)):
+        for some in (some for batch in batches for some in slices(batch, 1)):
             if out is None:
                 out, index = fs.open_output_stream(f"{at}/{name}.rec"), fs.open_output_stream(f"{at}/{name}.idx")
             texts = [t or "" for t in some.column(1).to_pylist()]

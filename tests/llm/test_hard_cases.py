@@ -8,6 +8,7 @@ import re
 import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -107,6 +108,36 @@ def test_long_lines_that_are_unlike_are_not_verified(spark, docs, monkeypatch, s
     assert sum(verified) < 2 * len(near)
 
 
+def test_units_are_looked_up_once_for_many_texts():
+    """Plain and odd texts in one call give the library's ids, and a unit costs no look-up for each time that it stands there."""
+    import public_tokenizers
+
+    from silvaspark.llm import token_records as tr
+
+    class Counted(dict):
+        looked_up = 0
+
+        def __contains__(self, key):
+            Counted.looked_up += 1
+            return super().__contains__(key)
+
+        def __getitem__(self, key):
+            Counted.looked_up += 1
+            return super().__getitem__(key)
+
+    rng = random.Random(8)
+    enc = tr.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    enc.after = Counted()
+    plain = [text(rng, 300) for _ in range(60)]
+    odd = ["", " ", "\n", " a", "a ", "a\n", "\na b", "a\n\nb  c", "x\u3000y\tz", "a\x1cb c", "<|endoftext|> a <|endoftext|>", "é\u0301 🎉\n日本 ", "a\x00b c"]
+    texts = [x for pair in zip(plain, odd * 5, strict=False) for x in pair]
+    assert enc.encode(texts) == enc.whole(texts)
+    assert Counted.looked_up < 1000 < sum(len(t.split()) for t in texts) / 10
+    assert enc.encode([""]) == [b""] and enc.encode([]) == []
+    batch = pa.record_batch([pa.array([None, "", "a" * (9 << 20), "b", None, "c" * (5 << 20), "d" * (5 << 20)])], names=["text"])
+    assert [s.num_rows for s in tr.slices(batch, 0)] == [2, 1, 2, 1, 1] and pa.Table.from_batches(tr.slices(batch, 0)).combine_chunks().to_batches()[0] == batch
+
+
 def test_classes_of_very_common_tokens_keep_their_order(spark):
     """Ranks stay positive in the highest class, so that the commonest tokens sort last."""
     from silvaspark.llm.line_dedup import CLASSES
