@@ -17,6 +17,7 @@ import json
 import re
 import unicodedata
 from collections.abc import Iterator
+from itertools import filterfalse
 
 import pyarrow as pa
 import regex
@@ -24,8 +25,10 @@ from pyspark.sql import DataFrame
 
 FINAL = 256  # added to a byte that ends a word
 CHUNK = 1 << 16
-WORDS_KEPT = 500_000  # of each table of counts that a worker holds; a full one is emptied
-STATES_KEPT = 60_000  # likewise of determinised states
+WORDS_KEPT = 800_000  # of each table of counts that a worker holds; a full one is emptied
+STATES_KEPT = 250_000  # likewise of determinised states
+PAIRS_KEPT = 400_000  # likewise of pairs of tokens that were tried
+ZERO = 2048  # stands for no difference where one of counts is the lower twelve bits of a number
 
 
 def _byte_symbols() -> dict[str, int]:
@@ -59,14 +62,17 @@ class Transducer:
             names.setdefault(whole, token)
             self.parts.append((a, b))
             spelled.append(whole)
-        self._pairs: dict[tuple[int, int], bool] = {}
+        self._pairs: dict[int, bool] = {}
         self._automaton([(t, s) for t, s in enumerate(spelled) if names[s] == t and (t < 2 * FINAL or self._stable(*self.parts[t]))])
+        if max(self.depth) >= ZERO:
+            raise ValueError(f"a token has {max(self.depth)} symbols; counts are kept for fewer than {ZERO}")
         self._restart()
 
     def _restart(self) -> None:
-        self.ids = {(0, ((0, -1, 0),)): 0}
-        self.states = [(0, ((0, -1, 0),))]  # node, (suffix length, last token there, its count less the count here)
-        self.moves: list[dict[int, tuple[int, int]]] = [{}]
+        # a state: its node; then for each suffix of the node, the empty one first, last token and count less the count here
+        self.states = [(0, (-1 << 12) + ZERO)]
+        self.ids = {self.states[0]: 0}
+        self.moves: dict[int, int] = {}  # state and symbol -> state and count that the symbol brings
 
     def _stable(self, a: int, b: int) -> bool:
         """Whether the merge (a, b) is reached: nothing inside a + b merges across their border before it."""
@@ -74,8 +80,8 @@ class Transducer:
 
     def pair_ok(self, a: int, b: int) -> bool:
         """Whether a followed by b is what merging a + b gives."""
-        if (ok := self._pairs.get((a, b))) is None:
-            ok = self._pairs[a, b] = self._border(a, b, len(self.parts))
+        if (ok := self._pairs.get(a << 32 | b)) is None:
+            ok = self._pairs[a << 32 | b] = self._border(a, b, len(self.parts))
         return ok
 
     def _border(self, a: int, b: int, limit: int) -> bool:
@@ -107,54 +113,53 @@ class Transducer:
             own[node] = token
         self.fail, queue = [0] * len(self.next), list(self.next[0].values())
         self.ends: list[list[tuple[int, int]]] = [[] for _ in self.next]  # tokens that end here: (length, token)
+        self.chain: list[tuple[int, ...]] = [() for _ in self.next]  # lengths of the suffixes that are nodes
         for node in queue:
             for s, child in self.next[node].items():
                 self.fail[child] = self._goto(self.fail[node], s)
                 queue.append(child)
             mine = [(self.depth[node], own[node])] if node in own else []
             self.ends[node] = mine + self.ends[self.fail[node]]
+            self.chain[node] = (self.depth[node], *self.chain[self.fail[node]])
 
     def _goto(self, node: int, s: int) -> int:
         while node and s not in self.next[node]:
             node = self.fail[node]
         return self.next[node].get(s, 0)
 
-    def _determinise(self, state: int, s: int) -> tuple[int, int]:
-        node, history = self.states[state]
-        known = {d: (token, count) for d, token, count in history}
+    def _determinise(self, state: int, s: int) -> int:
+        key = self.states[state]
+        node = key[0]
+        known = dict(zip((0, *self.chain[node]), key[1:], strict=True))
         to = self._goto(node, s)
         for length, token in self.ends[to]:
-            before, count = known[length - 1]
-            if before < 0 or self.pair_ok(before, token):
+            before = known[length - 1]
+            if before < 0 or self.pair_ok(before >> 12, token):
                 break
-        delta, seen, at = count + 1, [(0, token, 0)], to
-        while at:
-            d = self.depth[at]
-            before, count = known[d - 1]
-            seen.append((d, before, count - delta))
-            at = self.fail[at]
-        key = (to, tuple(seen))
+        delta = (before & 4095) - ZERO + 1
+        key = (to, (token << 12) + ZERO, *[known[d - 1] - delta for d in self.chain[to]])
         new = self.ids.get(key)
         if new is None:
             new = self.ids[key] = len(self.states)
             self.states.append(key)
-            self.moves.append({})
-        self.moves[state][s] = found = (new, delta)
+        self.moves[state << 9 | s] = found = new << 12 | delta + ZERO
         return found
 
     def count(self, word: bytes) -> int:
         """Tokens of one word, its last byte word-final."""
         if len(self.states) > STATES_KEPT:  # between words only the start state is needed
             self._restart()
-        if len(self._pairs) > 8 * STATES_KEPT:
+        if len(self._pairs) > PAIRS_KEPT:
             self._pairs.clear()
         state = total = 0
-        moves = self.moves
+        known = self.moves.get
         for s in (*word[:-1], word[-1] + FINAL):
-            move = moves[state].get(s)
-            state, delta = move if move is not None else self._determinise(state, s)
-            total += delta
-        return total
+            move = known(state << 9 | s)
+            if move is None:
+                move = self._determinise(state, s)
+            state = move >> 12
+            total += move & 4095
+        return total - len(word) * ZERO
 
 
 SPACE = re.compile(r"[\x1c-\x1f]")  # str.split takes these for white space; the vocabulary's \s does not
@@ -214,20 +219,15 @@ class Counter:
 
     def total(self, units: list[str]) -> int:
         known = self.units
-        try:
-            return sum(map(known.__getitem__, units))
-        except KeyError:
-            pass
         if len(known) >= WORDS_KEPT:
             known.clear()
-        total = 0
-        for u in units:
-            n = known.get(u)
-            if n is None:
-                n = self.unit(u) if u else 0
-                if len(u) < 64:
-                    known[u] = n
-            total += n
+        new = set(filterfalse(known.__contains__, units))
+        for u in new:
+            known[u] = self.unit(u) if u else 0
+        total = sum(map(known.__getitem__, units))
+        for u in new:
+            if len(u) >= 64:
+                del known[u]
         return total
 
     def compose(self, a: tuple[str, int | None, str], b: tuple[str, int | None, str]) -> tuple[str, int | None, str]:

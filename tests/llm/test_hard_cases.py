@@ -138,6 +138,23 @@ def test_units_are_looked_up_once_for_many_texts():
     assert [s.num_rows for s in tr.slices(batch, 0)] == [2, 1, 2, 1, 1] and pa.Table.from_batches(tr.slices(batch, 0)).combine_chunks().to_batches()[0] == batch
 
 
+def test_states_of_many_rare_words_are_determinised_once(monkeypatch):
+    """A worker holds the states that some ten thousand unlike words reach; counts are the library's."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from silvaspark.llm.token_counts import Counter
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    rng, lib, counter = random.Random(9), Tokenizer.from_file(path), Counter(path)
+    words = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=10)) for _ in range(15_000)]
+    first = [counter.transducer.count(w.encode()) for w in words]
+    assert len(counter.transducer.states) > 60_000
+    assert first == [len(e.ids) for e in lib.encode_batch(words, add_special_tokens=False)]
+    monkeypatch.setattr(counter.transducer, "_determinise", None)
+    assert [counter.transducer.count(w.encode()) for w in words] == first
+
+
 def test_classes_of_very_common_tokens_keep_their_order(spark):
     """Ranks stay positive in the highest class, so that the commonest tokens sort last."""
     from silvaspark.llm.line_dedup import CLASSES
