@@ -22,7 +22,6 @@ from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import pyarrow.fs as pafs
 import regex
 from pyspark.sql import DataFrame, SparkSession
@@ -116,6 +115,8 @@ class Encoder:
 
     def cut(self, texts: list[str]) -> tuple[np.ndarray, pa.Array]:
         """``(ends, units)``: where the units of each text end, and all of them in a row."""
+        import pyarrow.compute as pc  # 10 MB, of workers only
+
         plain = [not any(x in t for x in self.ODD) for t in texts]
         rows = pa.array([t if p else "" for t, p in zip(texts, plain, strict=True)], pa.large_string())
         lists = pc.split_pattern(pc.replace_substring(rows, "\n", " \n"), " ")
@@ -186,6 +187,8 @@ class Encoder:
 
 def slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
     """Slices of at most ``ROWS`` rows and about ``CHARS`` bytes of a text column."""
+    import pyarrow.compute as pc
+
     size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     upto, lo = np.cumsum(size, dtype=np.int64), 0
     while lo < batch.num_rows:
