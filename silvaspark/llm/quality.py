@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from silvaspark.llm.common import discard, stored
 from silvaspark.llm.parity_join import word_hashes
 
 BITS = 18
@@ -138,9 +139,22 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
             found = [grams((t.as_py() or "").encode(), flags).astype("<u4").tobytes() for t in batch.column(1)]
             yield pa.record_batch([batch.column(0), batch.column(2).cast(pa.int32()), pa.array(found, pa.binary())], names=["doc_id", "quality", "found"])
 
-    rows = texts.mapInArrow(run, "doc_id long, quality int, found binary").toArrow().sort_by([("doc_id", "ascending"), ("quality", "ascending")])
-    found = [np.frombuffer(x.as_buffer(), "<u4") for x in rows["found"]]  # as they came, without a copy
-    return fit(found, np.array(rows["quality"].to_pylist(), np.int64).reshape(-1) if found else np.zeros(0, np.int64))
+    def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [batch for batch in batches if batch.num_rows]
+        ids, labels = (np.concatenate([np.zeros(0, np.int64), *(batch.column(k).to_numpy() for batch in held)]).astype(np.int64) for k in (0, 1))
+        found = [np.frombuffer(x.as_buffer(), "<u4") for batch in held for x in batch.column(2)]  # as they came, without a copy
+        order = np.lexsort((labels, ids))
+        m = fit([found[i] for i in order], labels[order])
+        yield pa.record_batch([pa.array([m.weight.tobytes()], pa.binary()), pa.array([m.square.tobytes()], pa.binary()), pa.array([m.slope]), pa.array([m.shift])], names=["weight", "square", "slope", "shift"])
+
+    # one task of an executor fits, on few rows in small batches: the driver gets the model alone, whose size is fixed
+    rows = texts.mapInArrow(run, "doc_id long, quality int, found binary").repartition(1)
+    model = stored(rows.mapInArrow(fitted, "weight binary, square binary, slope double, shift double"), "quality-model")
+    got = model.first()
+    discard(model)
+    if got is None:  # Spark runs no task on a table that it knows to be empty
+        return fit([], np.zeros(0, np.int64))
+    return Model(np.frombuffer(got.weight), np.frombuffer(got.square), got.slope, got.shift)
 
 
 def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:

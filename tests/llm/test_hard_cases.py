@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import collections
+import os
 import random
 import re
 import time
@@ -299,6 +300,37 @@ def test_support_vectors_against_plain_coordinate_descent():
     assert [model.score(f) >= 0.5 for f in rows] == [bool(v) for v in y]
 
 
+def test_training_gathers_nothing_on_the_driver(spark, docs, monkeypatch):
+    """The model is fitted by a task of an executor, to the same rows in the same order as by ``fit`` alone."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    from silvaspark.llm import quality
+
+    rng = random.Random(9)
+    texts = {i: text(rng, 12) if i % 3 else text(rng, 12).replace("a", "#") for i in range(90)}
+    labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i in texts], "doc_id long, quality int")
+    rows = docs(list(texts.items())).repartition(5)
+    trained = sorted(r.doc_id for r in labels.where(~quality.held_out(F.col("doc_id"))).collect())
+    flags = np.zeros(1 << quality.BITS, bool)
+    want = quality.fit([quality.grams(texts[i].encode(), flags).astype("<u4") for i in trained], np.array([int(i % 3 > 0) for i in trained]))
+
+    driver, fit = os.getpid(), quality.fit
+
+    def elsewhere(*rows):
+        assert os.getpid() != driver, "fitted on the driver"
+        return fit(*rows)
+
+    def gathered(_):
+        raise AssertionError("gathered on the driver")
+
+    with monkeypatch.context() as m:
+        m.setattr(quality, "fit", elsewhere)
+        m.setattr(DataFrame, "toArrow", gathered)
+        got = quality.train(rows, labels)
+    assert np.array_equal(got.weight, want.weight) and np.array_equal(got.square, want.square)
+    assert (got.slope, got.shift) == (want.slope, want.shift)
+
+
 def test_stages_on_nothing_and_on_nulls(spark, docs, tmp_path):
     """Every stage of the pipeline takes an empty table, and rows of nulls and empty texts, without losing what it keeps."""
     import corpus_pipeline
