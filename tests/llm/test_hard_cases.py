@@ -300,6 +300,15 @@ def test_support_vectors_against_plain_coordinate_descent():
     assert [model.score(f) >= 0.5 for f in rows] == [bool(v) for v in y]
 
 
+def test_ranks_of_words_are_sorted_as_numbers(docs):
+    """Arrays that may hold nulls are sorted as objects, which takes longer."""
+    from silvaspark.llm.line_dedup import _groups
+
+    groups = _groups(docs([(1, "one two three"), (2, None), (3, "three two one")]), 80, 100)
+    assert not groups.schema["prefix"].dataType.containsNull
+    assert [(r.n, r.prefix == sorted(r.prefix)) for r in groups.collect()] == [(3, True)]
+
+
 def test_training_gathers_nothing_on_the_driver(spark, docs, monkeypatch):
     """The model is fitted by a task of an executor, to the same rows in the same order as by ``fit`` alone."""
     from pyspark.sql.classic.dataframe import DataFrame
