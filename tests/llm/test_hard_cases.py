@@ -378,3 +378,47 @@ def test_stored_tables_move_small_batches_and_write_few_files(spark):
         spark.conf.set("spark.sql.shuffle.partitions", before)
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", aqe)
     assert files <= 8
+
+
+def test_lines_of_unlike_size_and_order_meet(spark, docs):
+    """Sets at the bound of 4 to 5, the larger one first or last, and sets of one size, in sizes on both sides of the sketches' steps."""
+    from silvaspark.llm.line_dedup import dedup_lines
+
+    rng = random.Random(12)
+    lines = []
+    for n in (4, 5, 8, 40, 64, 65, 80, 192, 240):
+        for k in (n * 5 // 4, n * 5 // 4 + 1, n):
+            words = ["v" + str(rng.randrange(10**9)) for _ in range(k)]
+            other = words[:n] if k > n else [*words[: n - 1], "other"]
+            pair = [words, rng.sample(other, len(other))]
+            lines += [" ".join(w) for w in (pair if rng.random() < 0.5 else pair[::-1])]
+    rows = list(enumerate(lines))
+    want, seen = {}, []
+    for i, line in rows:
+        s = frozenset(line.split())
+        want[i] = int(not any(100 * len(s & o) >= 80 * len(s | o) for o in seen))
+        seen.append(s)
+    assert 0 < sum(want.values()) < len(want)
+    assert {r.doc_id: r.n_kept for r in dedup_lines(docs(rows)).collect()} == want
+
+
+def test_lines_are_cut_once_and_few_rows_are_written(spark, docs, monkeypatch):
+    """No filter cuts lines into words a second time, and no table of prefix tokens is stored between the two steps."""
+    from silvaspark.llm import line_dedup
+
+    rng = random.Random(13)
+    vocabulary = ["w" + str(i) for i in range(400)]
+    df = docs([(i, " ".join(rng.sample(vocabulary, 40))) for i in range(60)])
+    plan = line_dedup._groups(df, 80, 100)._jdf.queryExecution().optimizedPlan().toString()
+    assert not [x for x in plan.splitlines() if "Filter" in x and "split(" in x]
+
+    written, stored = {}, line_dedup.stored
+
+    def counted(rows, name):
+        out = stored(rows, name)
+        written[name] = max(written.get(name, 0), out.count())
+        return out
+
+    monkeypatch.setattr(line_dedup, "stored", counted)
+    assert sum(r.n_kept for r in line_dedup.dedup_lines(df).collect()) == 60
+    assert written["line-groups"] == 60 and max(written.values()) == 60
