@@ -341,3 +341,19 @@ def test_surfaces(spark):
     assert points.search_radius(1.0, True) == 35 and points.search_radius(10.0, False) == 10
     assert isinstance(points.extent(p.limit(0)), dict) and points.ground_points(p.limit(0)).count() == 0
     assert pd.Series(dtype=float).empty
+
+
+def test_dense_moves_only_cells(spark, monkeypatch):
+    monkeypatch.setattr(points, "STRIP", 3)
+    cells = [(0, 0, 1.0), (0, 6, 2.0), (0, 6, 3.0), (2, 2, None), (2, 3, 4.0), (5, 0, 9.0), (0, 7, 9.0), (-1, 0, 9.0)]
+    out = points.dense(spark.createDataFrame(cells, "row int, col int, v double"), 7, 4, -1.0)
+    held = {}
+    for r, c, v in cells:
+        held.setdefault((r, c), []).append(-1.0 if v is None else v)
+    wanted = sorted((r, c, v) for r in range(4) for c in range(7) for v in held.get((r, c), [-1.0]))
+    assert sorted(map(tuple, out.collect())) == wanted
+    assert out.columns == ["row", "col", "v"]
+    assert points.dense(spark.createDataFrame([], "row int, col int, v double"), 0, 0).count() == 0
+    # cells without a point are made after the exchange
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Generate explode") < plan.index("Exchange") and "Join" not in plan
