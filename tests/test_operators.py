@@ -357,3 +357,18 @@ def test_dense_moves_only_cells(spark, monkeypatch):
     # cells without a point are made after the exchange
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert plan.index("Generate explode") < plan.index("Exchange") and "Join" not in plan
+
+
+def test_cloth_rows_that_are_needed(monkeypatch):
+    monkeypatch.setattr(kernels, "STRIP", 3)
+    rng = np.random.default_rng(5)
+    a = np.where(rng.random((23, 9)) < 0.3, rng.normal(50, 20, (23, 9)), np.nan)
+    floor, c = np.where(np.isnan(a), -np.inf, a), np.full(a.shape, 90.0)
+    for _ in range(6):
+        c = np.maximum(c - 0.5, floor)
+        near = [[c[y, x] for y, x in ((i - 1, j), (i + 1, j), (i, j - 1), (i, j + 1)) if 0 <= y < 23 and 0 <= x < 9] for i in range(23) for j in range(9)]
+        mean = np.array([sum(n) / len(n) for n in near]).reshape(a.shape)
+        c = np.clip(c, mean - 0.1, mean + 0.1)
+    assert np.allclose(kernels.cloth(a, 90.0, 6, 0.5, 0.1), c, rtol=0, atol=1e-12)
+    assert np.array_equal(kernels.cloth(a, 90.0, 6, 0.5, 0.1, (9, 14))[9:14], kernels.cloth(a, 90.0, 6, 0.5, 0.1)[9:14])
+    assert kernels.cloth(np.array([[np.nan]]), 9.0, 4, 0.5, 0.1)[0, 0] == 7.0
