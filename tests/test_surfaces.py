@@ -217,3 +217,32 @@ def test_loaders_reproject_and_pack(spark, tmp_path):
     bad = spark.createDataFrame([(1, bytearray(geometry.to_wkb((3, [[(0.0, 0.0), (1.0, 1.0), (0.0, 0.0)]]))))], "id long, geom binary")
     with pytest.raises(ValueError, match="valid"):
         vector.prepare_crowns(bad, "id", do_validate=True)
+
+
+@pytest.mark.parametrize("gate", [False, True])
+def test_gaps_that_hold_whole_tiles(spark, gate):
+    """A ring round tiles without a cell: they are one gap with what is round them, open only through a gate."""
+    valid = np.zeros((64, 72), bool)
+    valid[9:55, 9:60] = True
+    valid[12:52, 12:57] = False
+    valid[30:33, 30:33] = True
+    if gate:
+        valid[20:30, 57:60] = False
+    size, halo = 8, 4
+    places = spark.createDataFrame([(int(r), int(c)) for r, c in zip(*np.nonzero(valid), strict=True)], "row int, col int")
+    found = {(r.tile_r, r.tile_c, r.label) for r in focal.open_gaps(places, 72, 64, size, halo).collect()}
+    covered, tiles_there = strict_footprint(valid), 0
+    for r in range(0, 64, size):
+        for c in range(0, 72, size):
+            near = valid[max(0, r - halo) : r + size + halo, max(0, c - halo) : c + size + halo]
+            if not near.any():
+                continue
+            tiles_there += 1
+            core = np.zeros(near.shape, bool)
+            y, x = r - max(0, r - halo), c - max(0, c - halo)
+            core[y : y + size, x : x + size] = True
+            closed, *_ = focal.closed_core(near, max(0, r - halo), max(0, c - halo), core, 72, 64)
+            labels = kernels.components(~closed)
+            out = [label for t, u, label in found if (t, u) == (r // size, c // size)]
+            assert np.array_equal(closed | ~np.isin(labels, out), covered[r : r + size, c : c + size])
+    assert tiles_there < 72 and covered[40, 20] != gate
