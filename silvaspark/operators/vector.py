@@ -206,7 +206,12 @@ def ring_wkb(layer: DataFrame, ring: str = "ring") -> DataFrame:
     def pack(r: pd.Series) -> pd.Series:
         return r.map(lambda ps: None if ps is None else geometry.to_wkb((3, [[(p["x"], p["y"]) for p in ps]])))
 
-    return layer.withColumn("geom", pack(ring))
+    return spread(layer).withColumn("geom", pack(ring))
+
+
+def spread(layer: DataFrame) -> DataFrame:
+    """Rows dealt over three tasks a core: a file of small rows may be read by one task. Tasks are not put together again."""
+    return layer.repartition(3 * layer.sparkSession.sparkContext.defaultParallelism)
 
 
 def zonal_polygons(pixels: DataFrame, polygons: DataFrame, width: int | None = None, height: int | None = None) -> DataFrame:
@@ -220,11 +225,16 @@ def zonal_polygons(pixels: DataFrame, polygons: DataFrame, width: int | None = N
 
     def cover(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
+            if width is not None and height is not None:
+                for at in range(0, len(batch), 2000):
+                    part = batch.iloc[at : at + 2000]
+                    which, rows, cols = geometry.many_window_pixels(part.geom.tolist(), width, height)
+                    yield pd.DataFrame({"crown_id": part.crown_id.to_numpy()[which], "row": rows.astype("int32"), "col": cols.astype("int32")})
+                continue
             for crown_id, geom in zip(batch.crown_id, batch.geom, strict=True):
-                g = geometry.from_wkb(geom)
-                rows, cols = geometry.pixels(g) if width is None or height is None else geometry.window_pixels(g, width, height)
+                rows, cols = geometry.pixels(geometry.from_wkb(geom))
                 yield pd.DataFrame({"crown_id": crown_id, "row": rows, "col": cols}).astype({"row": "int32", "col": "int32"})
 
     kind = polygons.schema["crown_id"].dataType.simpleString()
-    covered = polygons.select("crown_id", "geom").where("geom is not null").mapInPandas(cover, f"crown_id {kind}, row int, col int")
+    covered = spread(polygons.select("crown_id", "geom").where("geom is not null")).mapInPandas(cover, f"crown_id {kind}, row int, col int")
     return pixels.join(covered, ["row", "col"])

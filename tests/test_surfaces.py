@@ -246,3 +246,41 @@ def test_gaps_that_hold_whole_tiles(spark, gate):
             out = [label for t, u, label in found if (t, u) == (r // size, c // size)]
             assert np.array_equal(closed | ~np.isin(labels, out), covered[r : r + size, c : c + size])
     assert tiles_there < 72 and covered[40, 20] != gate
+
+
+def test_many_polygons_are_cut_as_each_alone():
+    rng, geoms = np.random.default_rng(3), []
+    for i in range(200):
+        x, y, s = rng.integers(-10, 70) / 2, rng.integers(-10, 70) / 2, rng.choice([0.05, 0.3, 1.03, 5.03])
+        p = [(x + s * rng.normal(), y + s * rng.normal()) for _ in range(5)]
+        ring = [(x - s, y), (x, y - s), (x + s, y), (x, y + s), (x - s, y)] if i % 2 else [*p, p[0]]
+        geoms.append(geometry.to_wkb((3, [ring])) if i % 7 else geometry.to_wkb((6, [[ring]])))
+    for limit in (1 << 20, 30):
+        which, rows, cols = geometry.many_window_pixels(geoms, 30, 30, limit)
+        for i, g in enumerate(geoms):
+            r, c = geometry.window_pixels(geometry.from_wkb(g), 30, 30)
+            assert sorted(zip(rows[which == i], cols[which == i], strict=True)) == sorted(zip(r, c, strict=True))
+
+
+def test_outlines_of_labels_that_batches_cut(spark):
+    at = [(i, 2 * i + r, c) for i in range(40) for r in range(2) for c in range(3)] + [(7, 500, 0)]
+    labels = spark.createDataFrame(at, "tree_id long, row int, col int")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 4)
+    try:
+        found = sorted((r.tree_id, len(r.ring), r.ring[0]) for r in focal.label_polygons(labels).collect())
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert found == sorted([(i, 11, [2.0 * i, 0.0]) for i in range(40)] + [(7, 5, [500.0, 0.0])])
+    plan = focal.label_polygons(labels)._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroups" not in plan
+
+
+def test_crowns_of_one_file_are_dealt_before_the_join(spark):
+    box = "crown_id long, minx double, miny double, maxx double, maxy double"
+    crowns = spark.createDataFrame([(i, i - 1.0, -1.0, i + 1.0, 1.0) for i in range(50)], box).coalesce(1)
+    trees = spark.createDataFrame([(str(i), float(i), 0.0) for i in range(50)], "tree_id string, x double, y double")
+    out = vector.assign_tree_ids(crowns, trees)
+    assert "RoundRobinPartitioning" in out._jdf.queryExecution().executedPlan().toString()
+    inside = {i: min(str(j) for j in range(50) if abs(i - j) <= 1) for i in range(50)}
+    wanted = {t: min(i for i in inside if inside[i] == t) for t in inside.values()}
+    assert {r.tree_id: r.crown_id for r in out.collect()} == wanted
