@@ -192,7 +192,8 @@ def label_crowns(crowns: DataFrame, trees: DataFrame, label: str = "species", ma
 def assign_tree_ids(crowns: DataFrame, trees: DataFrame, cell: float = 8.0) -> DataFrame:
     """``crown_id, tree_id``: trees within crowns, the least tree per crown, then the least crown per tree."""
     span = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / cell), F.floor(F.col(b) / cell)))
-    c = crowns.select("crown_id", "minx", "miny", "maxx", "maxy").withColumn("gx", span("minx", "maxx")).withColumn("gy", span("miny", "maxy"))
+    # a small file is one task's, and the aggregation in front of the exchange sorts all that the join gives it
+    c = crowns.select("crown_id", "minx", "miny", "maxx", "maxy").transform(spread).withColumn("gx", span("minx", "maxx")).withColumn("gy", span("miny", "maxy"))
     t = trees.select("tree_id", "x", "y", F.floor(F.col("x") / cell).alias("gx"), F.floor(F.col("y") / cell).alias("gy"))
     inside = c.join(t, ["gx", "gy"]).where("x between minx and maxx and y between miny and maxy")
     per_crown = inside.groupBy("crown_id").agg(F.min("tree_id").alias("tree_id"))
