@@ -238,4 +238,5 @@ def zonal_polygons(pixels: DataFrame, polygons: DataFrame, width: int | None = N
 
     kind = polygons.schema["crown_id"].dataType.simpleString()
     covered = spread(polygons.select("crown_id", "geom").where("geom is not null")).mapInPandas(cover, f"crown_id {kind}, row int, col int")
-    return pixels.join(covered, ["row", "col"])
+    # packed well on disk, pixels look small enough to be broadcast, and then do not fit the driver
+    return pixels.join(covered.hint("merge"), ["row", "col"])
