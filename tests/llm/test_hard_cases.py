@@ -422,3 +422,17 @@ def test_lines_are_cut_once_and_few_rows_are_written(spark, docs, monkeypatch):
     monkeypatch.setattr(line_dedup, "stored", counted)
     assert sum(r.n_kept for r in line_dedup.dedup_lines(df).collect()) == 60
     assert written["line-groups"] == 60 and max(written.values()) == 60
+
+
+def test_lines_are_numbered_without_a_sort(spark, docs):
+    """Unique, near doc_ids give the numbers themselves; repeated, null or far ones are sorted. The order is the same."""
+    from silvaspark.llm.line_dedup import _groups, dedup_lines
+
+    near = [(i, f"alpha{i} beta{i}\ngamma{i} delta{i}\n\nalpha{i - 1} beta{i - 1}") for i in (7, -3, 2**31, 12, -(2**30))]
+    for more in ([], [(7, "one more")], [(None, "one more")], [(2**62, "one more"), (-(2**62), "first of all")]):
+        groups = _groups(docs(near + more), 80, 100)
+        assert ("rangepartitioning" in groups._jdf.queryExecution().executedPlan().toString()) == bool(more)
+        rows = groups.orderBy("g").collect()
+        places = [(r.doc_id is not None, r.doc_id or 0, r.h, r.line_no) for r in rows]
+        assert len({r.g for r in rows}) == len(rows) and places == sorted(places)
+    assert {r.doc_id: r.n_kept for r in dedup_lines(docs([(5, "a b c"), (-5, "c b a\na b c d e")])).collect()} == {5: 0, -5: 2}
