@@ -436,3 +436,37 @@ def test_lines_are_numbered_without_a_sort(spark, docs):
         places = [(r.doc_id is not None, r.doc_id or 0, r.h, r.line_no) for r in rows]
         assert len({r.g for r in rows}) == len(rows) and places == sorted(places)
     assert {r.doc_id: r.n_kept for r in dedup_lines(docs([(5, "a b c"), (-5, "c b a\na b c d e")])).collect()} == {5: 0, -5: 2}
+
+
+def test_words_are_lower_cased_as_in_their_line(spark):
+    """Cut first and lower-cased alone: the same words as of the lower-cased line, each once, final sigma and odd blanks included."""
+    from silvaspark.llm.line_dedup import _words
+
+    lines = ["ΟΔΟΣ ΣΑΣ Σ ΑΣ. ΑΣ'Β", "İx  a A\tÉé\x0bB\fb\rc ", "", " \t", "Straße STRASSE straße ǅ", "plain Plain"]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "i int, line string")
+    whole = F.array_distinct(F.transform(F.filter(F.split(F.lower("line"), r"[\x20\x09-\x0D]+"), lambda w: w != ""), lambda w: F.xxhash64(w)))
+    rows = df.select("i", _words(F.col("line")).alias("got"), whole.alias("want")).collect()
+    assert [sorted(r.got) for r in rows] == [sorted(r.want) for r in rows] and sum(len(r.got) for r in rows) > 10
+    assert not df.select(_words(F.col("line")).alias("t")).schema["t"].dataType.containsNull
+
+
+def test_texts_of_unlike_ids_are_not_hashed(docs):
+    """Texts are hashed only where a doc_id repeats or is null, to tell its rows apart."""
+    from silvaspark.llm.line_dedup import _groups
+
+    rows = [(1, "one two"), (2, "three four\nfive six")]
+    assert {r.h for r in _groups(docs(rows), 80, 100).collect()} == {0}
+    for more in ((2, "seven eight"), (None, "seven eight")):
+        assert len({r.h for r in _groups(docs([*rows, more]), 80, 100).collect()}) == 3
+
+
+def test_sets_of_sizes_far_apart_do_not_meet(spark, monkeypatch):
+    """A token of some hundred sets leads only to pairs of neighbouring bands of size, not to all pairs."""
+    from silvaspark.llm import line_dedup
+
+    token = (7 << 58) + 12345
+    rows = [(i, n, 0, 0, 0, 0, [token]) for i, n in enumerate((5, 10, 12, 20, 40, 80, 80))]
+    groups = spark.createDataFrame(rows, "g long, n int, s long, x long, y long, z long, prefix array<long>")
+    monkeypatch.setattr(line_dedup, "_may_link", lambda num, den: F.lit(True))
+    met = line_dedup._with_all(groups, spark.createDataFrame([], "g long"), 80, 100).collect()
+    assert sorted((r.a, r.b) for r in met) == [(1, 2), (5, 6)]
