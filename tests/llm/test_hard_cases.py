@@ -464,7 +464,7 @@ def test_sets_of_sizes_far_apart_do_not_meet(spark, monkeypatch):
     """A token of some hundred sets leads only to pairs of neighbouring bands of size, not to all pairs."""
     from silvaspark.llm import line_dedup
 
-    token = (7 << 58) + 12345
+    token = (line_dedup.BANDED + 1 << 58) + 12345
     rows = [(i, n, 0, 0, 0, 0, [token]) for i, n in enumerate((5, 10, 12, 20, 40, 80, 80))]
     groups = spark.createDataFrame(rows, "g long, n int, s long, x long, y long, z long, prefix array<long>")
     monkeypatch.setattr(line_dedup, "_may_link", lambda num, den: F.lit(True))
